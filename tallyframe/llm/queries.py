@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 from .exact_dedup import ORACLE_OP7, op7_exact_dedup
+from .langid import op5_language_id
+from .packing import op10_best_fit_packing
 from .simhash import op4_simhash
+from .substring_dedup import op2_substring_dedup
 
-QUERIES = {f.__name__: f for f in (op4_simhash, op7_exact_dedup)}
+_ALL = (op2_substring_dedup, op4_simhash, op5_language_id, op7_exact_dedup, op10_best_fit_packing)
+QUERIES = {f.__name__: f for f in _ALL}
 ORACLES = {"op7_exact_dedup": ORACLE_OP7}
