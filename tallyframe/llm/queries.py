@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from .byte_bpe import op8_byte_bpe
+from .chat_format import ORACLE_OP6, op6_chat_format
 from .exact_dedup import ORACLE_OP7, op7_exact_dedup
+from .html_extract import op1_html_extract
 from .langid import op5_language_id
 from .packing import op10_best_fit_packing
 from .simhash import op4_simhash
 from .substring_dedup import op2_substring_dedup
 
-_ALL = (op2_substring_dedup, op4_simhash, op5_language_id, op7_exact_dedup, op10_best_fit_packing)
+_ALL = (op1_html_extract, op2_substring_dedup, op4_simhash, op5_language_id, op6_chat_format, op7_exact_dedup, op8_byte_bpe, op10_best_fit_packing)
 QUERIES = {f.__name__: f for f in _ALL}
-ORACLES = {"op7_exact_dedup": ORACLE_OP7}
+ORACLES = {"op6_chat_format": ORACLE_OP6, "op7_exact_dedup": ORACLE_OP7}
