@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,3 +38,85 @@ def held(id_col: str, mod: int) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+class Scratch:
+    """Tables written to the shared folder, until the block ends. What leaves the
+    block must not read them: cut it first."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path, self.count = spark, f"{checkpoint_dir(spark)}/scratch-{uuid.uuid4().hex}", 0
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def table(self, df: DataFrame) -> DataFrame:
+        """df, written and read again."""
+        self.count += 1
+        path = f"{self.path}/{self.count}"
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
+class KeySet:
+    """A Bloom filter of 64-bit keys, at most LIMIT bytes whatever their number.
+
+    It only spares a shuffle what an exact join behind it would drop: a key that is
+    in is never missed, and beyond the size limit more others pass.
+    """
+
+    LIMIT, WORDS, PER_KEY = 32 << 20, 1 << 10, 12
+
+    def __init__(self, blocks: dict[int, bytes], count: int):
+        empty = np.zeros(self.WORDS, np.uint64)
+        self.bits = np.concatenate([np.frombuffer(blocks[i], np.uint64) if i in blocks else empty for i in range(count)])
+        self.count = count
+
+    @classmethod
+    def _spots(cls, keys: np.ndarray, count: int) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The block of each key, and its bits in the block."""
+        x = keys.view(np.uint64) * np.uint64(0x9FB21C651E98DF25)
+        x ^= x >> np.uint64(31)
+        y = x * np.uint64(0xD6E8FEB86659FD93)
+        y ^= y >> np.uint64(32)
+        return (x % np.uint64(count)).astype(np.int64), [(y >> np.uint64(16 * i)) & np.uint64(64 * cls.WORDS - 1) for i in range(4)]
+
+    @classmethod
+    def of(cls, keys: DataFrame, column: str) -> KeySet:
+        rows = keys.select(F.col(column).cast("long").alias("key"))
+        bound = cls.LIMIT // (8 * cls.WORDS)
+        count = int(min(bound, max(1, -(-rows.count() * cls.PER_KEY // (64 * cls.WORDS)))))
+
+        def block(batches):
+            for batch in batches:
+                keys = batch.column(0).to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([pa.array(cls._spots(keys, count)[0]), batch.column(0)], names=["block", "key"])
+
+        def fill(batches):
+            held: dict[int, np.ndarray] = {}
+            for batch in batches:
+                keys = batch.column(1).to_numpy(zero_copy_only=False)
+                where, spots = cls._spots(keys, count)
+                order = np.argsort(where, kind="stable")
+                for part in np.split(order, np.flatnonzero(np.diff(where[order])) + 1):
+                    if len(part):
+                        bits = held.setdefault(int(where[part[0]]), np.zeros(cls.WORDS, np.uint64))
+                        for s in spots:
+                            np.bitwise_or.at(bits, (s[part] >> np.uint64(6)).astype(np.int64), np.uint64(1) << (s[part] & np.uint64(63)))
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(list(held)), pa.array([b.tobytes() for b in held.values()])], names=["block", "bits"])
+
+        found = rows.mapInArrow(block, "block long, key long").repartition("block").mapInArrow(fill, "block long, bits binary")
+        return cls({r["block"]: bytes(r["bits"]) for r in found.toLocalIterator()}, count)
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        where, spots = self._spots(np.asarray(keys, np.int64), self.count)
+        out = np.ones(len(keys), bool)
+        for s in spots:
+            word = self.bits[where * self.WORDS + (s >> np.uint64(6)).astype(np.int64)]
+            out &= (word >> (s & np.uint64(63))) & np.uint64(1) == 1
+        return out

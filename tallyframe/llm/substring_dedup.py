@@ -21,9 +21,9 @@ A window is told by two 64-bit names of which one covers half its words and one
 covers all of them, so a false match needs both to collide.
 
 Counts are pre-aggregated before each shuffle and found again by equi-joins,
-which adaptive execution splits for a passage that many documents share. Texts
-are shuffled once, by row, for the last step; the exchange is reused where
-windows are named.
+which adaptive execution splits for a passage that many documents share. A Bloom
+filter of bounded size keeps from each shuffle most of what its join would drop,
+so texts that lose nothing stay where they are.
 
 Edge cases: a null text has no words; repeated rows count as other places, so
 they remove each other's words; rows with one id and different texts are told
@@ -41,8 +41,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from ._common import body, table
+from ._common import KeySet, Scratch, body, cut, table
 
 #: Most words of a symbol after each round: one round of runs, then rounds of pairs.
 RUN, PAIRS = 2, (3, 4)
@@ -173,40 +174,50 @@ def _record(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], names=list(columns))
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(row, body): row tells texts and ids apart, so equal rows share it."""
+def _keyed(docs: DataFrame, carry: list[str], text_col: str) -> DataFrame:
+    """(row, body, carried columns as a struct); row tells carried values and texts apart, so equal rows share it."""
     text = body(text_col)
-    return docs.select(F.xxhash64(F.col(id_col).cast("string"), text).alias("row"), F.col(id_col).alias("id"), text.alias("body"))
+    names = [F.col(c).cast("string") for c in carry]
+    return docs.select(F.xxhash64(*names, text).alias("row"), text.alias("body"), F.struct(*carry).alias("carried"))
+
+
+def _only(rows: DataFrame, known: KeySet, inside: bool = True) -> DataFrame:
+    """The rows whose first column, a long, is in known, or isn't."""
+    shared = rows.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(shared.value.has(batch.column(0).to_numpy(zero_copy_only=False)) == inside))
+
+    return rows.mapInArrow(run, rows.schema)
 
 
 def repeated_spans(keyed: DataFrame, window: int = 35) -> DataFrame:
-    """(row, spans): word ranges [low, end) of each row that repeated windows cover.
+    """(row, low, end): sorted, disjoint word ranges [low, end) of each row that
+    repeated windows cover, as two arrays. Rows without any are left out.
 
     keyed: (row, body). A window is repeated if its words also start at another
     place of any row.
     """
     if window < LEAST:
         raise ValueError(f"a window needs {LEAST} words at least")
+    spark = keyed.sparkSession
 
     def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _grouped(_rows(batches), 0):
             yield _record(phrase=Parsed([g[0] for g in group], window).stretches()["phrase"])
 
+    shared = cut(keyed.select("body").mapInArrow(phrases, "phrase long").groupBy("phrase").agg(F.count("*").alias("n")).where("n > 1").select("phrase"))
+    again = spark.sparkContext.broadcast(KeySet.of(shared, "phrase"))
+
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _grouped(_rows(batches), 1):
             found = Parsed([g[1] for g in group], window).stretches()
-            rows = np.array([g[0] for g in group], np.int64)[found["doc"]] if len(found["doc"]) else found["doc"]
+            some = again.value.has(found["phrase"])
+            found = {k: v[some] for k, v in found.items()}
+            rows = np.array([g[0] for g in group], np.int64)[found["doc"]]
             yield _record(phrase=found["phrase"], stretch=found["stretch"], row=rows, low=found["low"].astype(np.int32), high=found["high"].astype(np.int32))
 
-    shared = keyed.select("body").mapInArrow(phrases, "phrase long").groupBy("phrase").agg(F.count("*").alias("n")).where("n > 1").select("phrase")
-    places = keyed.select("row", "body").mapInArrow(stretches, "phrase long, stretch long, row long, low int, high int").join(shared, "phrase", "left_semi")
-
-    kinds = places.groupBy("phrase", "stretch").agg(F.count("*").alias("n"), F.min(F.struct("row", "low", "high")).alias("one"))
-    settled = places.join(kinds.where("n > 1").select("phrase", "stretch"), ["phrase", "stretch"], "left_semi").select("row", "low", (F.col("high") + window).alias("end"))
-    open_phrases = kinds.groupBy("phrase").agg(F.min("n").alias("least")).where("least = 1").select("phrase")
-    open_kinds = kinds.join(open_phrases, "phrase", "left_semi").select("phrase", "one.*", F.when(F.col("n") > 1, 2).otherwise(1).alias("weight"))
-    todo = open_kinds.groupBy("row").agg(F.collect_list(F.struct("phrase", "low", "high", "weight")).alias("todo"))
-
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _grouped(_rows(batches), 1):
             parsed = Parsed([g[1] for g in group], window)
@@ -220,12 +231,45 @@ def repeated_spans(keyed: DataFrame, window: int = 35) -> DataFrame:
                 phrase, name, row, low, weight = (np.concatenate(c) for c in zip(*out, strict=True))
                 yield _record(phrase=phrase, window=name, row=row, low=low.astype(np.int32), weight=weight.astype(np.int32))
 
-    # Equal rows, which share their key, are each other's repeats: all they weigh is 2 or more, once or twice.
-    asked = keyed.select("row", "body").join(todo, "row")
-    single = asked.mapInArrow(windows, "phrase long, window long, row long, low int, weight int")
-    twice = single.groupBy("phrase", "window").agg(F.sum("weight").alias("n")).where("n > 1").select("phrase", "window")
-    late = single.where("weight = 1").join(twice, ["phrase", "window"], "left_semi").select("row", "low", (F.col("low") + window).alias("end"))
-    return settled.unionByName(late).groupBy("row").agg(F.collect_list(F.struct("low", "end")).alias("spans"))
+    with Scratch(spark) as scratch:
+        places = keyed.select("row", "body").mapInArrow(stretches, "phrase long, stretch long, row long, low int, high int")
+        places = scratch.table(places.join(shared, "phrase", "left_semi"))
+        kinds = scratch.table(places.groupBy("phrase", "stretch").agg(F.count("*").alias("n"), F.min(F.struct("row", "low", "high")).alias("one")))
+        settled = places.join(kinds.where("n > 1").select("phrase", "stretch"), ["phrase", "stretch"], "left_semi").select("row", "low", (F.col("high") + window).alias("end"))
+        # Where a phrase has a stretch that occurs once, its windows are compared with those of one occurrence of each other stretch.
+        open_phrases = kinds.groupBy("phrase").agg(F.min("n").alias("least")).where("least = 1").select("phrase")
+        open_kinds = kinds.join(open_phrases, "phrase", "left_semi").select("phrase", "one.*", F.when(F.col("n") > 1, 2).otherwise(1).alias("weight"))
+        todo = cut(open_kinds.groupBy("row").agg(F.collect_list(F.struct("phrase", "low", "high", "weight")).alias("todo")))
+        # Equal rows, which share their key, are each other's repeats: all they weigh is 2 or more, once or twice.
+        asked = _only(keyed.select("row", "body"), KeySet.of(todo, "row")).join(todo, "row")
+        single = scratch.table(asked.mapInArrow(windows, "phrase long, window long, row long, low int, weight int"))
+        twice = single.groupBy("phrase", "window").agg(F.sum("weight").alias("n")).where("n > 1").select("phrase", "window")
+        late = single.where("weight = 1").join(twice, ["phrase", "window"], "left_semi").select("row", "low", (F.col("low") + window).alias("end"))
+        covered = settled.unionByName(late).repartition("row").sortWithinPartitions("row", "low")
+        return cut(covered.mapInArrow(_merged, "row long, low array<int>, end array<int>"))
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted (row, low, end) with overlapping ranges made one, a row at a time."""
+    out: list[tuple[int, list[int], list[int]]] = []
+    kinds = (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()))
+
+    def flush(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True) if rows else ([], [], [])
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["row", "low", "end"])
+
+    for row, low, end in _rows(batches):
+        if not out or out[-1][0] != row:
+            if len(out) > 5000:
+                yield flush(out)
+                out = []
+            out.append((row, [low], [end]))
+        elif low <= out[-1][2][-1]:
+            out[-1][2][-1] = max(end, out[-1][2][-1])
+        else:
+            out[-1][1].append(low)
+            out[-1][2].append(end)
+    yield flush(out)
 
 
 def drop_spans(words: list[bytes], low: np.ndarray, end: np.ndarray) -> list[bytes]:
@@ -236,30 +280,35 @@ def drop_spans(words: list[bytes], low: np.ndarray, end: np.ndarray) -> list[byt
     return [w for w, deep in zip(words, np.cumsum(edge)[:-1].tolist(), strict=True) if not deep]
 
 
-def substring_dedup(docs: DataFrame, finish: Callable[[list[bytes], list[bytes]], tuple], schema: str, id_col: str = "doc_id", text_col: str = "text", window: int = 35) -> DataFrame:
-    """One row per input row: its id, then what finish(words, kept words) makes of it, as schema says."""
-    keyed = _keyed(docs, id_col, text_col)
+def substring_dedup(docs: DataFrame, finish: Callable[[bytes, list[bytes], list[bytes]], tuple], schema: str, carry: list[str], text_col: str = "text", window: int = 35) -> DataFrame:
+    """One row per input row: the carried columns, then what finish(text, words, kept words)
+    makes of it, as schema says. Only texts that may lose words are shuffled."""
+    keyed = _keyed(docs, carry, text_col)
     spans = repeated_spans(keyed.select("row", "body"), window)
+    known = KeySet.of(spans, "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, spans = [], batch.column(2)
-            low, end = (spans.values.field(k).to_numpy(zero_copy_only=False) for k in ("low", "end"))
-            at = spans.offsets.to_numpy()
+            out, (low, end) = [], (batch.column(k) for k in (2, 3))
+            lows, ends, at = low.values.to_numpy(), end.values.to_numpy(), low.offsets.to_numpy()
             for text, i, j in zip(batch.column(1).to_pylist(), at, at[1:], strict=False):
                 words = text.split()
-                out.append(finish(words, drop_spans(words, low[i:j], end[i:j])))
+                out.append(finish(text, words, drop_spans(words, lows[i:j], ends[i:j])))
             columns = [pa.array(c) for c in zip(*out, strict=True)]
             if out:
-                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[str(i) for i in range(len(columns) + 1)])
+                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["carried", *(str(i) for i in range(len(columns)))])
 
-    kind = dict(docs.dtypes)[id_col]
-    return keyed.join(spans, "row", "left").select("id", "body", "spans").mapInArrow(run, f"{id_col} {kind}, {schema}")
+    out = StructType([keyed.schema["carried"], *StructType.fromDDL(schema).fields])
+    none = F.lit(None).cast("array<int>")
+    apart = _only(keyed, known, inside=False).select("carried", "body", none.alias("low"), none.alias("end")).mapInArrow(run, out)
+    changed = _only(keyed, known).join(spans, "row", "left").select("carried", "body", "low", "end").mapInArrow(run, out)
+    both = apart.unionByName(changed)
+    return both.select("carried.*", *[c for c in both.columns if c != "carried"])
 
 
-def _digest(words: list[bytes], kept: list[bytes]) -> tuple[int, int, str]:
+def _digest(text: bytes, words: list[bytes], kept: list[bytes]) -> tuple[int, int, str]:
     return len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup(table(spark, sf_dir, "documents"), _digest, "n_words long, n_removed long, kept_sha256 string")
+    return substring_dedup(table(spark, sf_dir, "documents"), _digest, "n_words long, n_removed long, kept_sha256 string", ["doc_id"])
