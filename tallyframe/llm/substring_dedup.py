@@ -52,8 +52,8 @@ SPAN = PAIRS[-1]
 REACH = RUN + sum((RUN, *PAIRS)[:-1])
 #: Words of the shortest window with an owner in it whatever it holds.
 LEAST = 2 * (REACH + SPAN)
-#: Words named at a time.
-CHUNK = 1 << 19
+#: Words named at a time, and rows taken out of a batch at a time.
+CHUNK, SLICE = 1 << 17, 256
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _MAX = np.uint64(2**64 - 1)
@@ -167,7 +167,8 @@ def _grouped(rows: Iterator[tuple], words_at: int) -> Iterator[list[tuple]]:
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for batch in batches:
-        yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+        for at in range(0, batch.num_rows, SLICE):
+            yield from zip(*(c.to_pylist() for c in batch.slice(at, SLICE).columns), strict=True)
 
 
 def _record(**columns) -> pa.RecordBatch:
