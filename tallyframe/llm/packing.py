@@ -20,6 +20,7 @@ ignored.
 from __future__ import annotations
 
 import random
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -38,33 +39,72 @@ SHARD, ISLANDS, EPOCHS, PEOPLE, GENERATIONS = 2000, 2, 2, 4, 6
 #: A bin with more than this share free is dissolved and packed again at the next level.
 LOOSE = 0.01
 #: Most words a worker keeps the ids of, and bytes of text tokenized at a time.
-WORDS, BYTES = 300_000, 2 << 20
+WORDS, BYTES = 700_000, 2 << 20
 _SHIFT = 1 << 24
+_MARKED, _ALONE = re.compile(rb"[A-Z][\x80-\xff]"), re.compile(rb"[A-Z](?![\x80-\xff])")
+
+
+class Words:
+    """A tokenizer and the ids of the words it has seen."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # A sign that is one token of its own stands between words that are encoded in one go.
+        self.sign, self.mark = next(((c, ids[0]) for c in "\u2665\u2606\u2605\u2661" if len(ids := self._ids([c])[0]) == 1), (None, None))
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, words: list[bytes], at_once: int = 2000) -> None:
+        """Look the words up. They hold no white space."""
+        sign = (self.sign or "").encode()
+        alone = [w for w in words if not sign or sign in w]
+        for word, ids in zip(alone, self._ids([w.decode() for w in alone]), strict=True):
+            self.known[word] = np.array(ids, "<u4").tobytes()
+        rest = [w for w in words if sign not in w] if alone else words
+        for i in range(0, 0 if not sign else len(rest), at_once):
+            some = rest[i : i + at_once]
+            ids = np.array(self._ids([(b" " + sign + b" ").join(some).decode()])[0], "<u4")
+            ends, raw = [-1, *np.flatnonzero(ids == self.mark).tolist(), len(ids)], ids.tobytes()
+            for word, a, b in zip(some, ends[:-1], ends[1:], strict=True):
+                self.known[word] = raw[4 * a + 4 : 4 * b]
 
 
 @lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
+def _words(path: str) -> Words:
+    return Words(path)
+
 
-    found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True  # their strings in a text are ordinary text
-    return found, {}
+def _lowered(text: bytes) -> bytes:
+    """A-Z lowered, as the tokenizer would do later, but for letters that a mark after
+    them could compose with: those forms need not exist in either case."""
+    return _ALONE.sub(lambda m: m[0].lower(), text) if _MARKED.search(text) else text.lower()
 
 
 def token_bytes(texts: list[bytes], path: str) -> list[bytes]:
     """The ids of each text as little-endian unsigned 32-bit integers.
 
     The tokenizer drops white space and never joins what it separates, so the ids
-    of a text are those of its words; a word's ids are looked up once.
+    of a text are those of its words; a word's ids are looked up once. It splits
+    letters from what follows them too, so a word and its stop are two look-ups.
     """
-    tokenizer, known = _tokenizer(path)
-    split = [t.split() for t in texts]
-    if len(known) > WORDS:
-        known.clear()
-    new = list({w for words in split for w in words} - known.keys())
-    for word, found in zip(new, tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-        known[word] = np.array(found.ids, "<u4").tobytes()
-    return [b"".join([known[w] for w in words]) for words in split]
+    words_of = _words(path)
+    known = words_of.known
+    if len(known) > WORDS:  # the first words seen are the frequent ones
+        for word in list(known)[WORDS // 2 :]:
+            del known[word]
+    split = [_lowered(t).split() for t in texts]
+    found = [list(map(known.get, words)) for words in split]
+    new = {w for words, ids in zip(split, found, strict=True) for w, x in zip(words, ids, strict=True) if x is None}
+    stopped = {w: w[:-1] for w in new if w[-1] in b".,;:!?" and w[-2:-1].isalpha()}
+    plain = [w for w in {*(new - stopped.keys()), *stopped.values(), *(w[-1:] for w in stopped)} if w not in known]
+    words_of.learn(plain)
+    for word, core in stopped.items():
+        known[word] = known[core] + known[word[-1:]]
+    return [b"".join(known[w] if x is None else x for w, x in zip(words, ids, strict=True)) for words, ids in zip(split, found, strict=True)]
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end: int = END) -> DataFrame:
