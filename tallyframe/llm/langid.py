@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ._common import body, held, table
 
@@ -152,8 +153,8 @@ def classify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores), pa.array(unsure)], names=[*batch.schema.names[:-1], "lang_pred", "score", "ambiguous"])
 
     rows = docs.select(F.col(id_col), *([] if extra is None else [extra]), body(text_col).alias("text_bytes"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, f"{schema}, lang_pred string, score double, ambiguous boolean")
+    schema = StructType([*rows.schema.fields[:-1], *StructType.fromDDL("lang_pred string, score double, ambiguous boolean").fields])
+    return rows.mapInArrow(run, schema)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
