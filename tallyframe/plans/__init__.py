@@ -1,6 +1,6 @@
 """All queries of the invoice engine."""
 
-from . import checks, ledger  # noqa: F401
+from . import checks, ledger, pages  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
