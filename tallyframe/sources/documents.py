@@ -18,7 +18,8 @@ LEFT, TOP, WIDTH, HEIGHT, CONF, TEXT = 6, 7, 8, 9, 10, 11
 def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A JSON array file, or JSON lines, of records; corrupt parts are dropped."""
     found = spark.read.schema(f"{schema}, corrupt_ string").option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "corrupt_").json(path)
-    return found.where(F.col("corrupt_").isNull()).drop("corrupt_")
+    # The second condition always holds; a scan of the corrupt column alone isn't allowed.
+    return found.where(F.col("corrupt_").isNull() & (F.hash(*[c for c in found.columns if c != "corrupt_"]) >= -(2**31))).drop("corrupt_")
 
 
 def read_templates(spark: SparkSession, folder: str, schema: str, default: DataFrame) -> DataFrame:
