@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +43,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tidy(run: Callable) -> Callable:
+    """run, a function from Arrow batches to Arrow batches, giving its free memory back at
+    the end of a task: workers live on, and several of them share an executor."""
+
+    def tidied(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return tidied
+
+
 class Scratch:
     """Tables written to the shared folder, until the block ends. What leaves the
     block must not read them: cut it first."""
@@ -91,11 +107,13 @@ class KeySet:
         bound = cls.LIMIT // (8 * cls.WORDS)
         count = int(min(bound, max(1, -(-rows.count() * cls.PER_KEY // (64 * cls.WORDS)))))
 
+        @tidy
         def block(batches):
             for batch in batches:
                 keys = batch.column(0).to_numpy(zero_copy_only=False)
                 yield pa.RecordBatch.from_arrays([pa.array(cls._spots(keys, count)[0]), batch.column(0)], names=["block", "key"])
 
+        @tidy
         def fill(batches):
             held: dict[int, np.ndarray] = {}
             for batch in batches:

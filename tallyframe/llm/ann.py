@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import cut, table
+from ._common import cut, table, tidy
 
 #: Vectors the tree is fitted on and vectors the visits are calibrated on, at most.
 SAMPLE, PROBES = 20_000, 300
@@ -127,6 +127,7 @@ class Tree:
 def _vectors(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(id, vec) of the rows that take part, of any length; vec is the vector as little-endian doubles."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             packed = [np.array(v, "<f8") for v in batch.column(1).to_pylist()]
@@ -143,6 +144,7 @@ def _classes(valid: DataFrame, most: int) -> DataFrame:
     """(vec, ids): each different vector with its `most` smallest ids. Merged in map
     tasks first, so a frequent vector leaves each of them as one row."""
 
+    @tidy
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, list[int]] = {}
         for batch in batches:
@@ -153,6 +155,7 @@ def _classes(valid: DataFrame, most: int) -> DataFrame:
                 held = {}
         yield _packed(held)
 
+    @tidy
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, list[int]] = {}
         for batch in batches:
@@ -189,12 +192,14 @@ def search(rows: DataFrame, asks: Column, k: int = 5, id_col: str = "vec_id", ve
     visits = tree.calibrate(points, chosen, k)
     shared = spark.sparkContext.broadcast(tree)
 
+    @tidy
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 leaf = shared.value.place(unit(_matrix(batch.column(0))))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf, pa.int32())], names=["vec", "ids", "entry", "leaf"])
 
+    @tidy
     def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:

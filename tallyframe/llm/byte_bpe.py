@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import body, table
+from ._common import body, table, tidy
 
 #: Characters above which a text is split, and of a piece.
 LONG = 1 << 16
@@ -69,6 +69,7 @@ def decode(ids: np.ndarray, coder) -> bytes:
 def encoded(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = True) -> DataFrame:
     """One row per input row: id, n_tokens, ids (array<long>, if asked for), ids_sha256, decoded_sha256."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoding(path, pattern)
         for batch in batches:
@@ -86,6 +87,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
 def decoded(rows: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """One row per input row: id, bytes (binary). Null ids give null."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoding(path, pattern)
         for batch in batches:

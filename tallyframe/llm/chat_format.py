@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import table
+from ._common import table, tidy
 
 # Control strings of the template and the letters that stand for them.
 CONTROL = {"[INST]": "a", "[/INST]": "b", "<<SYS>>": "c", "<</SYS>>": "d", "<s>": "e", "</s>": "f", "<|end|>": "g", "<|": "h", "|>": "i"}
@@ -161,6 +161,7 @@ def turns_of(records: DataFrame, record_col: str = "record", id_col: str = "reco
     """(conversation, turn, role, text) of all JSON records whose layout is known.
     The conversation is the record's id where the layout names none."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
@@ -178,6 +179,7 @@ def turns_of(records: DataFrame, record_col: str = "record", id_col: str = "reco
 def unmapped(records: DataFrame, record_col: str = "record", id_col: str = "record_id") -> DataFrame:
     """(id, fingerprint) of the records no layout fits; the fingerprint is of the known paths they have."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [(i, r) for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if canonical_turns(r := _parsed(v)) is None]
@@ -192,6 +194,7 @@ def format_chats(turns: DataFrame) -> DataFrame:
     formatted, loss_spans (array of start, end in code points). A task holds one
     conversation at a time."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[str, str]] = []
         now: object = run  # no conversation yet
@@ -221,6 +224,7 @@ def _chats(rows: list[tuple]) -> pa.RecordBatch:
 def digests(chats: DataFrame) -> DataFrame:
     """What reading the formatted conversations back gives."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []

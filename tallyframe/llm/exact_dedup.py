@@ -20,12 +20,13 @@ import hashlib
 import struct
 import tempfile
 from collections.abc import Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import body, table
+from ._common import body, table, tidy
 
 #: Bytes of text a task's trie may hold before it spills, and a combiner before it flushes.
 TRIE_BYTES = 64 << 20
@@ -205,8 +206,8 @@ def exact_owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ident = F.col(id_col).cast("long")
     key = ident if keep == "smallest" else F.bitwise_not(ident)
     rows = docs.select(body(text_col).alias("body"), key.alias("owner")).select("body", F.xxhash64("body").alias("hash"), "owner")
-    local = rows.mapInArrow(lambda it: _combine(it, combine), "size long, hash long, body binary, owner long, rows long")
-    owned = local.repartition("size", "hash").select("body", "owner", "rows").mapInArrow(lambda it: _own(it, budget), "digest string, owner long, rows long")
+    local = rows.mapInArrow(tidy(partial(_combine, budget=combine)), "size long, hash long, body binary, owner long, rows long")
+    owned = local.repartition("size", "hash").select("body", "owner", "rows").mapInArrow(tidy(partial(_own, budget=budget)), "digest string, owner long, rows long")
     owner = F.col("owner") if keep == "smallest" else F.bitwise_not(F.col("owner"))
     return owned.select(F.col("digest").alias("text_sha256"), owner.alias("keep_id"), F.col("rows").alias("group_size"))
 

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import cut, table
+from ._common import cut, table, tidy
 
 # Elements of HTML by role, and words of class, id and role attributes that mark no content.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -251,6 +251,7 @@ def shared_lines(outline: DataFrame) -> DataFrame:
     parts = sorted(edge)
     outer = {p: (edge[parts[i - 1]][1] if i else None, edge[parts[i + 1]][0] if i + 1 < len(parts) else None) for i, p in enumerate(parts)}
 
+    @tidy
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before, held, done = None, None, []
 
@@ -286,6 +287,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     """One row per input row: page_id, url, text, n_chars."""
     keyed = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), F.xxhash64(F.col(id_col).cast("string"), url_col, html_col).alias("page"))
 
+    @tidy
     def outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh64_intdigest
         for batch in batches:
@@ -301,6 +303,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     # Repeated rows share their key and their lines.
     found = found.where(F.size("shared") > 0).groupBy("page").agg(F.max("shared").alias("shared"))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []

@@ -24,16 +24,16 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ._common import body, held, table
+from ._common import body, held, table, tidy
 
 #: Hash bins of the n-grams, and the n-gram lengths in bytes.
 BINS, GRAMS = 1 << 14, (1, 2, 3, 4)
-#: Texts classified at a time, and bytes hashed at a time.
-BLOCK, PIECE = 64, 1 << 20
+#: Texts classified at a time, bytes hashed at a time, and rows taken out of a batch at a time.
+BLOCK, PIECE, SLICE = 64, 1 << 20, 512
 #: n-grams count as this share of independent evidence.
 EVIDENCE = 0.05
 #: Score below which a text is flagged as ambiguous.
@@ -112,12 +112,14 @@ class Model:
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """Learn from all rows of docs whose label isn't null."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
-        for batch in batches:
-            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                counts = gram_counts(text)
-                total[lang] = total[lang] + counts if lang in total else counts
+        for whole in batches:
+            for batch in (whole.slice(at, SLICE) for at in range(0, whole.num_rows, SLICE)):
+                for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    counts = gram_counts(text)
+                    total[lang] = total[lang] + counts if lang in total else counts
         for lang, counts in total.items():
             bins = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(bins), pa.string()), pa.array(bins.astype(np.int32)), pa.array(counts[bins])], names=["lang", "bin", "n"])
@@ -133,31 +135,38 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mo
     return Model(languages, counts)
 
 
-def classify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", extra: Column | None = None) -> DataFrame:
-    """One row per input row: id, extra (if given), lang_pred, score, ambiguous."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+def classify(docs: DataFrame, model: Model | None, carry: list[str], text_col: str = "text") -> DataFrame:
+    """One row per input row: the carried columns, lang_pred, score, ambiguous."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = carry.index(text_col) if text_col in carry else None
 
+    def texts_of(batch: pa.RecordBatch) -> list[bytes]:
+        column = batch.column(1) if at is None else batch.column(0).field(at)
+        return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
+
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-            todo = [i for i, t in enumerate(texts) if model and has_letter(t)]
-            for at in range(0, len(todo), BLOCK):
-                some = todo[at : at + BLOCK]
-                best, score = model.predict(np.array([gram_counts(texts[i]) for i in some]))
-                for i, k, s in zip(some, best, score, strict=True):
-                    langs[i], scores[i] = model.languages[k], float(s)
-            unsure = [s < CLEAR for s in scores]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores), pa.array(unsure)], names=[*batch.schema.names[:-1], "lang_pred", "score", "ambiguous"])
-
-    rows = docs.select(F.col(id_col), *([] if extra is None else [extra]), body(text_col).alias("text_bytes"))
-    schema = StructType([*rows.schema.fields[:-1], *StructType.fromDDL("lang_pred string, score double, ambiguous boolean").fields])
-    return rows.mapInArrow(run, schema)
+        for whole in batches:
+            for start in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(start, SLICE)
+                texts = texts_of(batch)
+                langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+                todo = [i for i, t in enumerate(texts) if model and has_letter(t)]
+                for first in range(0, len(todo), BLOCK):
+                    some = todo[first : first + BLOCK]
+                    best, score = model.predict(np.array([gram_counts(texts[i]) for i in some]))
+                    for i, k, s in zip(some, best, score, strict=True):
+                        langs[i], scores[i] = model.languages[k], float(s)
+                unsure = [s < CLEAR for s in scores]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores), pa.array(unsure)], names=["carried", "lang_pred", "score", "ambiguous"])
+
+    rows = docs.select(F.struct(*carry).alias("carried"), *([body(text_col).alias("body")] if at is None else []))
+    schema = StructType([rows.schema["carried"], *StructType.fromDDL("lang_pred string, score double, ambiguous boolean").fields])
+    return rows.mapInArrow(run, schema).select("carried.*", "lang_pred", "score", "ambiguous")
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = train(docs.where(held("doc_id", 4) != 2))
-    return classify(docs, model, extra=(held("doc_id", 4) == 2).alias("held_out"))
+    out = held("doc_id", 4) == 2
+    return classify(docs.select("doc_id", "text", out.alias("held_out")), train(docs.where(~out)), ["doc_id", "held_out"])

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import body, cut, table
+from ._common import body, cut, table, tidy
 
 CAPACITY, END = 4096, 1
 #: Items of a shard, islands of a shard, epochs between which elites migrate, individuals, generations an epoch.
@@ -107,10 +107,12 @@ def token_bytes(texts: list[bytes], path: str) -> list[bytes]:
     return [b"".join(known[w] if x is None else x for w, x in zip(words, ids, strict=True)) for words, ids in zip(split, found, strict=True)]
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end: int = END) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32): each document's ids and the end id, cut at capacity."""
+def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end: int = END, keep_words: bool = True) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32): each document's ids and the end id, cut at
+    capacity. keep_words: a worker keeps the words it has seen for its next task."""
     tail = np.array([end], "<u4").tobytes()
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -130,6 +132,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
                 at = stop
+        if not keep_words:
+            _words(tokenizer).known.clear()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), body(text_col).alias("body")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
@@ -222,6 +226,7 @@ def evolve(sizes: list[int], elites: list[list[int]], seed: int, capacity: int =
 def _islands(shards: DataFrame, epochs: int, islands: int, capacity: int) -> DataFrame:
     """(shard, items, bins): the best packing of each shard over all islands."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             shard, island, epoch, sizes, elites = (c.to_pylist() for c in batch.columns[:5])

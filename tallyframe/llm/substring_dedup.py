@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ._common import KeySet, Scratch, body, cut, table
+from ._common import KeySet, Scratch, body, cut, table, tidy
 
 #: Most words of a symbol after each round: one round of runs, then rounds of pairs.
 RUN, PAIRS = 2, (3, 4)
@@ -182,13 +182,14 @@ def _keyed(docs: DataFrame, carry: list[str], text_col: str) -> DataFrame:
     return docs.select(F.xxhash64(*names, text).alias("row"), text.alias("body"), F.struct(*carry).alias("carried"))
 
 
-def _only(rows: DataFrame, known: KeySet, inside: bool = True) -> DataFrame:
-    """The rows whose first column, a long, is in known, or isn't."""
+def _only(rows: DataFrame, known: KeySet) -> DataFrame:
+    """The rows whose first column, a long, is in known."""
     shared = rows.sparkSession.sparkContext.broadcast(known)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(shared.value.has(batch.column(0).to_numpy(zero_copy_only=False)) == inside))
+            yield batch.filter(pa.array(shared.value.has(batch.column(0).to_numpy(zero_copy_only=False))))
 
     return rows.mapInArrow(run, rows.schema)
 
@@ -204,6 +205,7 @@ def repeated_spans(keyed: DataFrame, window: int = 35) -> DataFrame:
         raise ValueError(f"a window needs {LEAST} words at least")
     spark = keyed.sparkSession
 
+    @tidy
     def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _grouped(_rows(batches), 0):
             yield _record(phrase=Parsed([g[0] for g in group], window).stretches()["phrase"])
@@ -211,6 +213,7 @@ def repeated_spans(keyed: DataFrame, window: int = 35) -> DataFrame:
     shared = cut(keyed.select("body").mapInArrow(phrases, "phrase long").groupBy("phrase").agg(F.count("*").alias("n")).where("n > 1").select("phrase"))
     again = spark.sparkContext.broadcast(KeySet.of(shared, "phrase"))
 
+    @tidy
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _grouped(_rows(batches), 1):
             found = Parsed([g[1] for g in group], window).stretches()
@@ -219,6 +222,7 @@ def repeated_spans(keyed: DataFrame, window: int = 35) -> DataFrame:
             rows = np.array([g[0] for g in group], np.int64)[found["doc"]]
             yield _record(phrase=found["phrase"], stretch=found["stretch"], row=rows, low=found["low"].astype(np.int32), high=found["high"].astype(np.int32))
 
+    @tidy
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _grouped(_rows(batches), 1):
             parsed = Parsed([g[1] for g in group], window)
@@ -288,20 +292,35 @@ def substring_dedup(docs: DataFrame, finish: Callable[[bytes, list[bytes], list[
     spans = repeated_spans(keyed.select("row", "body"), window)
     known = KeySet.of(spans, "row")
 
+    shared = docs.sparkSession.sparkContext.broadcast(known)
+
+    def finished(carried: pa.Array, made: list[tuple]) -> pa.RecordBatch:
+        columns = [pa.array(c) for c in zip(*made, strict=True)]
+        return pa.RecordBatch.from_arrays([carried, *columns], names=["carried", *(str(i) for i in range(len(columns)))])
+
+    @tidy
+    def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(at, SLICE)
+                batch = batch.filter(pa.array(~shared.value.has(batch.column(0).to_numpy(zero_copy_only=False))))
+                if batch.num_rows:
+                    split = [(t, t.split()) for t in batch.column(1).to_pylist()]
+                    yield finished(batch.column(2), [finish(t, words, words) for t, words in split])
+
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out, (low, end) = [], (batch.column(k) for k in (2, 3))
-            lows, ends, at = low.values.to_numpy(), end.values.to_numpy(), low.offsets.to_numpy()
-            for text, i, j in zip(batch.column(1).to_pylist(), at, at[1:], strict=False):
-                words = text.split()
-                out.append(finish(text, words, drop_spans(words, lows[i:j], ends[i:j])))
-            columns = [pa.array(c) for c in zip(*out, strict=True)]
-            if out:
-                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["carried", *(str(i) for i in range(len(columns)))])
+        for whole in batches:
+            lows, ends, at = whole.column(2).values.to_numpy(), whole.column(3).values.to_numpy(), whole.column(2).offsets.to_numpy()
+            for first in range(0, whole.num_rows, SLICE):
+                batch, made = whole.slice(first, SLICE), []
+                for text, i, j in zip(batch.column(1).to_pylist(), at[first:], at[first + 1 :], strict=False):
+                    words = text.split()
+                    made.append(finish(text, words, drop_spans(words, lows[i:j], ends[i:j])))
+                yield finished(batch.column(0), made)
 
     out = StructType([keyed.schema["carried"], *StructType.fromDDL(schema).fields])
-    none = F.lit(None).cast("array<int>")
-    apart = _only(keyed, known, inside=False).select("carried", "body", none.alias("low"), none.alias("end")).mapInArrow(run, out)
+    apart = keyed.mapInArrow(untouched, out)
     changed = _only(keyed, known).join(spans, "row", "left").select("carried", "body", "low", "end").mapInArrow(run, out)
     both = apart.unionByName(changed)
     return both.select("carried.*", *[c for c in both.columns if c != "carried"])
