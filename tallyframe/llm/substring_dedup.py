@@ -332,3 +332,23 @@ def _digest(text: bytes, words: list[bytes], kept: list[bytes]) -> tuple[int, in
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"), _digest, "n_words long, n_removed long, kept_sha256 string", ["doc_id"])
+
+
+ORACLE_OP2 = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce("text", ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents
+), t AS (
+  SELECT doc_id, unnest(words) AS word, unnest(range(len(words))) AS i FROM d
+), w AS (
+  SELECT doc_id, i, string_agg(word, ' ') OVER f AS said, count(*) OVER f AS n
+  FROM t WINDOW f AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)
+), r AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY said) AS places FROM w WHERE n = 35) WHERE places > 1
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS i FROM r
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS said, count(*) AS n FROM t ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(kept.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.said, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
