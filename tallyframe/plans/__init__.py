@@ -1,6 +1,6 @@
 """All queries of the invoice engine."""
 
-from . import checks, ledger, pages, texts  # noqa: F401
+from . import checks, intake, ledger, pages, texts  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
