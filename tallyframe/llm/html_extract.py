@@ -40,13 +40,15 @@ from pyspark.sql import functions as F
 
 from ._common import cut, table, tidy
 
-# Elements of HTML by role, and words of class, id and role attributes that mark no content.
+# Elements of HTML by role, and words of class, id and role attributes that mark no content;
+# ASIDE_WORDS do so on an article or main element too.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template".split())
 NOISE = frozenset("nav header footer aside form script style head noscript template iframe svg canvas button select option textarea dialog menu object math audio video title".split())
 MAIN = frozenset("article main".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 NOISE_WORDS = frozenset("ad ads adv advert adverts advertisement banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer header masthead comment comments disqus replies reply share sharing social related recommended newsletter subscribe popup modal login signup search widget toolbar pagination pager copyright".split())
+ASIDE_WORDS = frozenset("ad ads advert advertisement sponsored promo comment comments reply replies disqus related".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|</?([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
@@ -68,7 +70,8 @@ def _is_noise(name: str, attributes: str) -> bool:
     if "display:none" in found.get("style", "").replace(" ", ""):
         return True
     names = f"{found.get('class', '')} {found.get('id', '')}"
-    return name not in MAIN and any(w in NOISE_WORDS for w in _WORD.split(names))
+    # An article may be a reader's comment or an advert; other words of its class say nothing against it.
+    return any(w in (ASIDE_WORDS if name in MAIN else NOISE_WORDS) for w in _WORD.split(names))
 
 
 def text_lines(page: str) -> list[tuple[str, bool]]:

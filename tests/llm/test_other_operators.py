@@ -40,6 +40,7 @@ def test_blocks_and_noise():
     assert lines("<div id=comments><p>c</div><aside>s</aside><p role=navigation>n</p><p hidden>h</p><h1>T</h1><ul><li>1<li>2</ul>") == "T\n1\n2"
     assert lines("<p>a < b</p><p>c") == "a < b\nc"
     assert lines("<article><div class=notice>n</div><p>x") == "x"
+    assert lines("<article><p>t</article><article class='comment'><p>me too</article>") == "t"
     assert lines("") == "" and lines("<<<>>>") != "never raises"
 
 
