@@ -84,6 +84,14 @@ def _lowered(text: bytes) -> bytes:
     return _ALONE.sub(lambda m: m[0].lower(), text) if _MARKED.search(text) else text.lower()
 
 
+def _holes(ids: list) -> Iterator[int]:
+    """Where ids has None."""
+    at = -1
+    for _ in range(ids.count(None)):
+        at = ids.index(None, at + 1)
+        yield at
+
+
 def token_bytes(texts: list[bytes], path: str) -> list[bytes]:
     """The ids of each text as little-endian unsigned 32-bit integers.
 
@@ -98,13 +106,16 @@ def token_bytes(texts: list[bytes], path: str) -> list[bytes]:
             del known[word]
     split = [_lowered(t).split() for t in texts]
     found = [list(map(known.get, words)) for words in split]
-    new = {w for words, ids in zip(split, found, strict=True) for w, x in zip(words, ids, strict=True) if x is None}
+    holes = [(words, ids, i) for words, ids in zip(split, found, strict=True) for i in _holes(ids)]
+    new = {words[i] for words, _, i in holes}
     stopped = {w: w[:-1] for w in new if w[-1] in b".,;:!?" and w[-2:-1].isalpha()}
     plain = [w for w in {*(new - stopped.keys()), *stopped.values(), *(w[-1:] for w in stopped)} if w not in known]
     words_of.learn(plain)
     for word, core in stopped.items():
         known[word] = known[core] + known[word[-1:]]
-    return [b"".join(known[w] if x is None else x for w, x in zip(words, ids, strict=True)) for words, ids in zip(split, found, strict=True)]
+    for words, ids, i in holes:
+        ids[i] = known[words[i]]
+    return [b"".join(ids) for ids in found]
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end: int = END, keep_words: bool = True) -> DataFrame:
