@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import body, cut, table
+from ._common import body, cut, table, tidy
 from .graph import components
 
 BITS = 64
@@ -58,6 +58,7 @@ def simhash(text: bytes, shingle: int = 4) -> int:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
     """(doc_id, fp) for each row; fp is the fingerprint as a signed long."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             marks = np.array([simhash(t, shingle) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
@@ -73,6 +74,7 @@ def _bits(values: np.ndarray) -> np.ndarray:
 def bit_correlation(prints: DataFrame) -> np.ndarray:
     """|correlation| of each two bits over all rows of prints(fp)."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both, n = np.zeros((BITS, BITS)), 0
         for batch in batches:
@@ -141,6 +143,7 @@ def plan(prints: DataFrame, distance: int) -> tuple[list[list[int]], list[int]]:
     even = {m: allot([(BITS + i) // m for i in range(m)], [rows**2 / 2 ** (1 + (BITS + i) // m) for i in range(m)], rows, distance)[1] for m in range(1, min(BITS, distance + 1) + 1)}
     groups = group_bits(bit_correlation(prints), min(even, key=even.get))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
@@ -181,6 +184,7 @@ def hamming_links(prints: DataFrame, distance: int = 4, block: int = BLOCK) -> D
     groups, thresholds = plan(prints, distance)
     masks = [(i, hidden) for i, t in enumerate(thresholds) if t >= 0 for hidden in combinations(groups[i], t)]
 
+    @tidy
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
@@ -194,6 +198,7 @@ def hamming_links(prints: DataFrame, distance: int = 4, block: int = BLOCK) -> D
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("cuts"), F.lit(1)) - 1)))
     dealt = dealt.select("mask", "key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "fp")
 
+    @tidy
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
@@ -236,7 +241,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     firsts = labels.join(classes, F.col("node") == F.col("fp")).select("label", "fp", "first")
     whole = firsts.groupBy("label").agg(F.min("first").alias("component"))
     joined = firsts.join(whole, "label").select("fp", "component")
-    ids = classes.join(joined, "fp", "left").select("fp", F.coalesce("component", "first").alias("component_id"))
+    # Cut, so that both sides of the last join are plain exchanges and a fingerprint that many rows share is split.
+    ids = cut(classes.join(joined, "fp", "left").select("fp", F.coalesce("component", "first").alias("component_id")))
     return marks.join(ids, "fp", "left").select("doc_id", "fp", "component_id")
 
 
