@@ -1,8 +1,8 @@
 """Geometry of recognised text: lines with boxes, rows of a table, nearest neighbours.
 
 A page is one row (page_id, lines); lines is an array of structs {pos, text, conf
-(0..1), x1, y1, x2, y2, cx, cy} in order of pos. Pages are small, so all of this
-runs inside one array and the only shuffle is the one that gathers a page.
+(0..1), x1, y1, x2, y2, cx, cy} in order of pos. All of this runs inside one
+array, a whole page however long, and the only shuffle is the one that gathers it.
 """
 
 from __future__ import annotations
@@ -105,8 +105,8 @@ def distance(a: Column, b: Column) -> Column:
 
 def nearest_number(anchor: Column, found: Column, fits) -> Column:
     """The number right of or below the anchor that is nearest to it and fits."""
-    good = F.filter(number_words(found), lambda x: fits(x) & right_or_below(anchor, x))
-    return F.when(anchor.isNotNull(), first(ordered(good, lambda x: distance(anchor, x))))
+    good = lambda a: F.filter(number_words(found), lambda x: fits(x) & right_or_below(a, x))
+    return let(anchor, lambda a: F.when(a.isNotNull(), first(ordered(good(a), lambda x: distance(a, x)))))
 
 
 def keyword(found: Column, words: tuple[str, ...]) -> Column:

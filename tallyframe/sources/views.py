@@ -40,7 +40,7 @@ FROM {orders}
 _TOKENS_SPARK = r"SELECT doc_id, CAST(pos AS BIGINT) AS pos, tok FROM {documents} LATERAL VIEW posexplode(split(text, '[ \\n]+')) t AS pos, tok"
 _TOKENS_DUCK = r"SELECT doc_id, CAST(i - 1 AS BIGINT) AS pos, toks[i] AS tok FROM (SELECT doc_id, toks, unnest(range(1, len(toks) + 1)) AS i FROM (SELECT doc_id, string_split_regex(text, '[ \n]+') AS toks FROM documents))"
 
-WORDS = """
+_BOXES = """
 SELECT doc_id AS page_id, pos,
  CASE WHEN pos = 0 THEN CASE WHEN doc_id % 5 = 0 THEN tok ELSE concat(chr(CAST(65 + doc_id % 26 AS INT)), chr(CAST(65 + (doc_id * 7) % 26 AS INT))) END
       WHEN pos = 1 THEN lpad(CAST((doc_id * 7919 + 104729) % 100000000 AS STRING), 8, '0')
@@ -55,8 +55,9 @@ SELECT doc_id AS page_id, pos,
       WHEN pos % 5 = 1 THEN 390 WHEN pos % 5 = 2 THEN 520 WHEN pos % 5 = 3 THEN 650 ELSE 900 END AS INT) AS left_,
  CAST(40 + 60 * CAST(floor(pos / 5) AS BIGINT) + CASE WHEN doc_id % 4 = 3 THEN CASE WHEN pos % 5 = 3 THEN 32 ELSE 0 END ELSE (pos * 11 + doc_id * 5) % 33 END AS INT) AS top_,
  CAST(8 * length(tok) + 8 AS INT) AS width_, 24 AS height_, CAST((pos * 31 + doc_id * 7) % 101 AS INT) AS conf
-FROM {tokens} WHERE pos < 40
-"""
+FROM {tokens}"""
+#: The oracles' SQL reads the first words of a page only; the queries read all of them.
+WORDS = _BOXES + " WHERE pos < 40\n"
 
 CANDIDATES = """
 SELECT r.rec_id, p.prio, p.source,
@@ -88,7 +89,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = spark.sql(_TOKENS_SPARK, documents=table(spark, sf_dir, "documents"))
-    return spark.sql(WORDS, tokens=tokens)
+    return spark.sql(_BOXES, tokens=tokens)
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
