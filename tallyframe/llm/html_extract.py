@@ -1,7 +1,7 @@
 """Main text of web pages by nearest-URL page differencing.
 
 Pages of one host are ordered by URL path; each page is paired with the neighbour
-that shares the longer path prefix. The two pages' text lines are aligned by
+that shares the longer path prefix, passing over pages with the same lines. The two pages' text lines are aligned by
 longest common subsequence, and the lines they share are deleted: menus and
 notices come back on the next page, an article doesn't.
 
@@ -20,7 +20,7 @@ page of each partition, two rows a partition, find their outer neighbours.
 Edge cases: a null html, or one without text, gives the empty text; a null url is
 the empty host and path; a page without a neighbour on its host loses no line;
 pages with one id and url are told apart by a hash of their html; repeated rows
-are each other's neighbours, so their unprotected lines go; unclosed and stray
+and copies are not each other's neighbours, so they lose no line to one another; unclosed and stray
 tags are read as browsers would; extra columns are ignored; an empty table gives
 an empty result.
 """
@@ -238,41 +238,60 @@ def shared_lines(outline: DataFrame) -> DataFrame:
     sorted_rows = cut(outline.orderBy(*order)).withColumn("part", F.spark_partition_id())
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = last = None
+        """The first and last row, and between them those next to them that are no copy of theirs."""
+        first = second = last = inner = None
         for batch in batches:
-            if batch.num_rows:
-                first = batch.slice(0, 1) if first is None else first
-                last = batch.slice(batch.num_rows - 1, 1)
-        if first is not None:
-            yield first
-            yield last
+            for i, (host, lines) in enumerate(zip(batch.column(1).to_pylist(), batch.column(4).to_pylist(), strict=True)):
+                row = (host, lines, batch.slice(i, 1))
+                first = first or row
+                if second is None and row[:2] != first[:2]:
+                    second = row
+                if last is not None and row[:2] != last[:2]:
+                    inner = last
+                last = row
+        for row in (first, second, inner, last):
+            if row is not None:
+                yield row[2]
 
     schema = "part int, host string, path string, page long, lines array<long>"
     edge: dict[int, list] = {}
     for row in sorted_rows.select("part", "host", "path", "page", "lines").mapInArrow(ends, schema).toLocalIterator():
         edge.setdefault(row["part"], []).append((row["host"], row["path"], row["page"], list(row["lines"] or [])))
     parts = sorted(edge)
-    outer = {p: (edge[parts[i - 1]][1] if i else None, edge[parts[i + 1]][0] if i + 1 < len(parts) else None) for i, p in enumerate(parts)}
+
+    def beyond(start: tuple, rest: Iterator[list]) -> tuple | None:
+        """The first row after start, on its host, that is no copy of it."""
+        for rows in rest:
+            for row in rows:
+                if row[0] != start[0] or row[3] != start[3]:
+                    return row if row[0] == start[0] else None
+        return None
+
+    outer = {p: (beyond(edge[p][0], (edge[q][::-1] for q in reversed(parts[:i]))), beyond(edge[p][-1], (edge[q] for q in parts[i + 1 :]))) for i, p in enumerate(parts)}
 
     @tidy
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before, held, done = None, None, []
+        before, held, last, copies, done = None, None, None, [], []
 
         def settle(after) -> None:
+            """Pair held and its copies, which stand next to each other, with the rows around them."""
             near = [x for x in (before, after) if x is not None and x[0] == held[0]]
-            if near:
-                best = max(near, key=lambda x: _prefix(x[1], held[1]))
-                done.append((held[2], [i for i, _ in common_lines(held[3], best[3])]))
+            shared: dict[int, list[int]] = {}
+            for path, page in copies if near else ():
+                k = max(range(len(near)), key=lambda k: _prefix(near[k][1], path))
+                if k not in shared:
+                    shared[k] = [i for i, _ in common_lines(held[3], near[k][3])]
+                done.append((page, shared[k]))
 
         for batch in batches:
             for part, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if held is None:
-                    before = outer.get(part, (None, None))[0]
-                    last = outer.get(part, (None, None))[1]
-                else:
+                    before, last = outer.get(part, (None, None))
+                elif row[0] != held[0] or row[3] != held[3]:
                     settle(row)
-                    before = held
-                held = row
+                    before, copies = (held[0], copies[-1][0], copies[-1][1], held[3]), []
+                held = row if not copies else held
+                copies.append((row[1], row[2]))
             yield _pairs(done)
             done.clear()
         if held is not None:

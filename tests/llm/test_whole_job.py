@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from tallyframe.llm import ngram_lm
+from tallyframe.llm import html_extract, ngram_lm
 
 
 def test_quanta_of_very_large_counts():
@@ -14,3 +14,21 @@ def test_quanta_of_very_large_counts():
         grams.bits[segment[0] * 64 : (segment[0] + 1) * 64] |= grams.fill(rest, np.array([n]))
     low = np.append(0.0, ngram_lm.EDGES)[grams.levels(keys)]
     assert (low <= counts).all() and (counts < low * ngram_lm.BASE + 1).all()
+
+
+def test_copies_of_a_page_keep_their_text(spark):
+    shared = "<div>Menu</div>"
+    text = lambda t: f"{shared}<div class=content>{t}</div>"
+    rows = [(i, f"http://a.com/{i:02}", text("One")) for i in range(10)] + [(10, "http://a.com/10", text("Two")), (11, "http://b.com/1", "<p>twice"), (11, "http://b.com/1", "<p>twice")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    for parts in ("1", "5"):
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            found = html_extract.extract_text(df).collect()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+            spark.conf.unset("spark.sql.adaptive.enabled")
+        assert len(found) == len(rows)
+        assert {(r["page_id"], r["text"]) for r in found} == {*((i, "One") for i in range(10)), (10, "Two"), (11, "twice")}
