@@ -9,8 +9,9 @@ does so with the emptiest bins. Between epochs each island's elite migrates to
 the next one. A shard whose best packing meets the lower bound stops evolving.
 
 Each shard's badly filled bins are then dissolved, and their items go through
-the same steps in fewer shards, until one shard is left: so shards lose no more
-than single bins together, at any size of the corpus.
+the same steps in fewer shards of at most about WIDE times as many items, until
+one shard is left or no fewer items are: so shards lose no more
+than single bins together where bins can be filled.
 
 Edge cases: a null text is empty and still gives its end token; an empty table
 gives an empty result; repeated rows are packed one by one; extra columns are
@@ -36,6 +37,8 @@ from ._common import body, cut, table, tidy
 CAPACITY, END = 4096, 1
 #: Items of a shard, islands of a shard, epochs between which elites migrate, individuals, generations an epoch.
 SHARD, ISLANDS, EPOCHS, PEOPLE, GENERATIONS = 2000, 2, 2, 4, 6
+#: Shards that are packed again may hold as many times SHARD items.
+WIDE = 16
 #: A bin with more than this share free is dissolved and packed again at the next level.
 LOOSE = 0.01
 #: Most words a worker keeps the ids of, and bytes of text tokenized at a time.
@@ -257,18 +260,23 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, island
     """pieces(doc_id, piece, start, length, ids_crc32) with sequence_id and offset."""
     pieces = cut(pieces.withColumn("item", F.monotonically_increasing_id()))
     own = pieces.where(F.col("length") >= capacity).select("item", (-1 - F.col("item")).alias("sequence_id"))
-    left, placed, level, shards = pieces.where(F.col("length") < capacity).select("item", F.col("length").cast("int").alias("size")), own, 0, 1 << 40
+    left, placed, level = pieces.where(F.col("length") < capacity).select("item", F.col("length").cast("int").alias("size")), own, 0
+    shards = 1 << 40
     while count := left.count():
-        shards = min(-(-count // shard), max(1, shards // 4))
+        fewest = -(-count // (WIDE * shard))
+        shards = max(fewest, min(-(-count // shard), shards // 4))
         dealt = left.groupBy(F.pmod(F.xxhash64("item", F.lit(level)), F.lit(shards)).alias("shard")).agg(F.sort_array(F.collect_list(F.struct("item", "size"))).alias("all"))
         packed = cut(_islands(dealt.select("shard", F.col("all.item").alias("items"), F.col("all.size").alias("sizes")), epochs, islands, capacity))
         rows = packed.select("shard", F.explode(F.arrays_zip("items", "sizes", "bins")).alias("x")).select("shard", F.col("x.items").alias("item"), F.col("x.sizes").alias("size"), F.col("x.bins").alias("bin"))
         fills = rows.groupBy("shard", "bin").agg(F.sum("size").alias("fill"))
         rows = cut(rows.join(fills, ["shard", "bin"]))
-        stay = F.lit(True) if shards == 1 else F.col("fill") >= capacity * (1 - loose)
+        full = F.col("fill") >= capacity * (1 - loose)
+        # Where bins can't be filled, packing what is left again would not make it fewer.
+        done = shards == 1 or shards == fewest and 4 * rows.where(~full).count() > 3 * count
+        stay = F.lit(True) if done else full
         number = F.lit(level).cast("long") * (1 << 56) + F.col("shard") * (1 << 20) + F.col("bin")
         placed = placed.unionByName(rows.where(stay).select("item", number.alias("sequence_id")))
-        if shards == 1:
+        if done:
             break
         left, level = rows.where(~stay).select("item", "size"), level + 1
     # A sequence holds at most capacity pieces, so its window is bounded.

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from tallyframe.llm import html_extract, ngram_lm
+from tallyframe.llm import html_extract, ngram_lm, packing
 
 
 def test_quanta_of_very_large_counts():
@@ -32,3 +32,12 @@ def test_copies_of_a_page_keep_their_text(spark):
             spark.conf.unset("spark.sql.adaptive.enabled")
         assert len(found) == len(rows)
         assert {(r["page_id"], r["text"]) for r in found} == {*((i, "One") for i in range(10)), (10, "Two"), (11, "twice")}
+
+
+def test_shards_stay_bounded_where_bins_cannot_be_filled(spark, monkeypatch):
+    sizes, islands = [], packing._islands
+    monkeypatch.setattr(packing, "_islands", lambda shards, *rest: sizes.extend(r[0] for r in shards.selectExpr("size(items)").collect()) or islands(shards, *rest))
+    pieces = spark.range(400).selectExpr("id AS doc_id", "0 AS piece", "0L AS start", "2500 AS length", "0L AS ids_crc32")
+    found = packing.pack(pieces, shard=4).collect()
+    assert len(found) == 400 and len({r["sequence_id"] for r in found}) == 400
+    assert max(sizes) < 150
