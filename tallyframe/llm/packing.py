@@ -20,15 +20,18 @@ ignored.
 
 from __future__ import annotations
 
+import json
 import random
 import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -41,39 +44,106 @@ SHARD, ISLANDS, EPOCHS, PEOPLE, GENERATIONS = 2000, 2, 2, 4, 6
 WIDE = 16
 #: A bin with more than this share free is dissolved and packed again at the next level.
 LOOSE = 0.01
-#: Most words a worker keeps the ids of, and bytes of text tokenized at a time.
-WORDS, BYTES = 700_000, 2 << 20
+#: Most words a worker keeps the ids of, most parts of words, and bytes of text tokenized at a time.
+WORDS, PARTS, BYTES = 1_000_000, 700_000, 4 << 20
 _SHIFT = 1 << 24
-_MARKED, _ALONE = re.compile(rb"[A-Z][\x80-\xff]"), re.compile(rb"[A-Z](?![\x80-\xff])")
+_MARKED = re.compile(rb"[A-Z][\x80-\xff]")
+# How the tokenizer's own pattern splits words of Latin letters, digits and ASCII marks.
+_PLAIN = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff0-9!-/:-@\\[-`{-~]+$"
+_PARTS = re.compile("\n|'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z\u00df-\u00f6\u00f8-\u00ff0-9\n]+")
+_LIKE = ({"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False})
+
+
+class Pool:
+    """Runs of token ids, told by number."""
+
+    def __init__(self):
+        self.ids, self.lens = np.empty(0, "<u4"), np.empty(0, np.int64)
+
+    def add(self, ids: np.ndarray, lens: np.ndarray) -> None:
+        self.ids, self.lens = np.concatenate([self.ids, ids]), np.concatenate([self.lens, lens])
+
+    def keep(self, count: int) -> None:
+        self.ids, self.lens = self.ids[: self.lens[:count].sum()].copy(), self.lens[:count].copy()
+
+    def laid(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the runs one after the other, and where each ends, after a zero."""
+        size = self.lens[which]
+        ends = np.append(0, np.cumsum(size))
+        first = np.cumsum(self.lens) - self.lens
+        return self.ids[np.repeat(first[which] - ends[:-1], size) + np.arange(ends[-1])], ends
 
 
 class Words:
-    """A tokenizer and the ids of the words it has seen."""
+    """A tokenizer and the ids of the words it has seen.
+
+    Words of plain letters, digits and marks are split here as the tokenizer's pattern
+    would, and only go through its merges: the last token of each part is told by its
+    word end. All others go through the whole tokenizer, one by one.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        # A sign that is one token of its own stands between words that are encoded in one go.
-        self.sign, self.mark = next(((c, ids[0]) for c in "\u2665\u2606\u2605\u2661" if len(ids := self._ids([c])[0]) == 1), (None, None))
-
-    def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def learn(self, words: list[bytes], at_once: int = 2000) -> None:
-        """Look the words up. They hold no white space."""
-        sign = (self.sign or "").encode()
-        alone = [w for w in words if not sign or sign in w]
-        for word, ids in zip(alone, self._ids([w.decode() for w in alone]), strict=True):
-            self.known[word] = np.array(ids, "<u4").tobytes()
-        rest = [w for w in words if sign not in w] if alone else words
-        for i in range(0, 0 if not sign else len(rest), at_once):
-            some = rest[i : i + at_once]
-            ids = np.array(self._ids([(b" " + sign + b" ").join(some).decode()])[0], "<u4")
-            ends, raw = [-1, *np.flatnonzero(ids == self.mark).tolist(), len(ids)], ids.tobytes()
-            for word, a, b in zip(some, ends[:-1], ends[1:], strict=True):
-                self.known[word] = raw[4 * a + 4 : 4 * b]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        own = json.loads(self.tokenizer.to_str())
+        end, split = own["model"].get("end_of_word_suffix"), own["pre_tokenizer"] or {}
+        self.merges = None
+        if end and split.get("pretokenizers") == list(_LIKE):
+            own |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, _LIKE[1]]}}
+            self.merges = Tokenizer.from_str(json.dumps(own))
+            self.ends = np.zeros(max(own["model"]["vocab"].values()) + 1, bool)
+            self.ends[[i for t, i in own["model"]["vocab"].items() if t.endswith(end)]] = True
+        self.clear()
+
+    def clear(self) -> None:
+        self.seen, self.words, self.parts, self.cores = pa.array([], pa.string()), Pool(), {"\n": 0}, Pool()
+        self.cores.add(np.empty(0, "<u4"), np.zeros(1, np.int64))
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def look_up(self, words: pa.StringArray) -> np.ndarray:
+        """The number in the pool of each of some different words; they hold no ASCII white space and no special token's string."""
+        if len(self.seen) > WORDS:  # the first words seen are the frequent ones
+            self.seen = pa.concat_arrays([self.seen[: WORDS // 2]])
+            self.words.keep(WORDS // 2)
+        found = pc.index_in(words, value_set=self.seen)
+        new = words.filter(pc.is_null(found))
+        plain = pc.match_substring_regex(new, _PLAIN) if self.merges is not None else pa.array(np.zeros(len(new), bool))
+        simple, odd = new.filter(plain), new.filter(pc.invert(plain))
+        base = len(self.seen)
+        if len(simple):
+            self.words.add(*self._merged(simple.to_pylist()))
+        if len(odd):
+            made = [self.whole(w) for w in odd.to_pylist()]
+            self.words.add(np.concatenate(made), np.array([len(x) for x in made], np.int64))
+        self.seen = pa.concat_arrays([self.seen, simple, odd])
+        number = found.fill_null(-1).to_numpy().astype(np.int64)
+        order = plain.to_numpy(zero_copy_only=False)
+        number[number < 0] = base + np.where(order, np.cumsum(order) - 1, len(simple) + np.cumsum(~order) - 1)
+        return number
+
+    def _merged(self, words: list[str], at_once: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of plain words one after the other, and how many each has."""
+        if len(self.parts) > PARTS:
+            self.parts = dict(islice(self.parts.items(), PARTS // 2))
+            self.cores.keep(len(self.parts))
+        said, known = _PARTS.findall("\n".join(words).lower()), self.parts
+        new = [p for p in dict.fromkeys(said) if p not in known]
+        for i in range(0, len(new), at_once):
+            some = new[i : i + at_once]
+            ids = np.array(self.merges.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            last = np.flatnonzero(self.ends[ids]) + 1
+            if len(last) != len(some):
+                raise ValueError("a part of a word has no word end")
+            self.cores.add(ids, np.diff(last, prepend=0))
+        known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
+        which = np.fromiter(map(known.__getitem__, said), np.int64, len(said))
+        ids, ends = self.cores.laid(which)
+        stops = ends[np.append(np.flatnonzero(which == 0), len(which))]
+        return ids, np.diff(stops, prepend=0)
 
 
 @lru_cache(maxsize=2)
@@ -82,43 +152,27 @@ def _words(path: str) -> Words:
 
 
 def _lowered(text: bytes) -> bytes:
-    """A-Z lowered, as the tokenizer would do later, but for letters that a mark after
-    them could compose with: those forms need not exist in either case."""
-    return _ALONE.sub(lambda m: m[0].lower(), text) if _MARKED.search(text) else text.lower()
-
-
-def _holes(ids: list) -> Iterator[int]:
-    """Where ids has None."""
-    at = -1
-    for _ in range(ids.count(None)):
-        at = ids.index(None, at + 1)
-        yield at
+    """A-Z lowered, as the tokenizer would do later, so that there are fewer different words; as it is
+    where a mark after a letter could compose with it, since those forms need not exist in either case."""
+    return text if _MARKED.search(text) else text.lower()
 
 
 def token_bytes(texts: list[bytes], path: str) -> list[bytes]:
     """The ids of each text as little-endian unsigned 32-bit integers.
 
     The tokenizer drops white space and never joins what it separates, so the ids
-    of a text are those of its words; a word's ids are looked up once. It splits
-    letters from what follows them too, so a word and its stop are two look-ups.
+    of a text are those of its words. The different words of all texts are looked up
+    once, and ids are laid out by arrays. A text with a special token's string is
+    tokenized whole, since that is cut out before anything else.
     """
     words_of = _words(path)
-    known = words_of.known
-    if len(known) > WORDS:  # the first words seen are the frequent ones
-        for word in list(known)[WORDS // 2 :]:
-            del known[word]
-    split = [_lowered(t).split() for t in texts]
-    found = [list(map(known.get, words)) for words in split]
-    holes = [(words, ids, i) for words, ids in zip(split, found, strict=True) for i in _holes(ids)]
-    new = {words[i] for words, _, i in holes}
-    stopped = {w: w[:-1] for w in new if w[-1] in b".,;:!?" and w[-2:-1].isalpha()}
-    plain = [w for w in {*(new - stopped.keys()), *stopped.values(), *(w[-1:] for w in stopped)} if w not in known]
-    words_of.learn(plain)
-    for word, core in stopped.items():
-        known[word] = known[core] + known[word[-1:]]
-    for words, ids, i in holes:
-        ids[i] = known[words[i]]
-    return [b"".join(ids) for ids in found]
+    whole = {i: words_of.whole(t.decode("utf-8", "replace")) for i, t in enumerate(texts) if any(x in t for x in words_of.special)}
+    lines = pa.array([b"" if i in whole else _lowered(t) for i, t in enumerate(texts)], pa.binary()).cast(pa.string())
+    split = pc.ascii_split_whitespace(lines)
+    coded = split.values.dictionary_encode()
+    ids, ends = words_of.words.laid(words_of.look_up(coded.dictionary)[coded.indices.to_numpy()])
+    edges = ends[split.offsets.to_numpy()].tolist()
+    return [(whole[i] if i in whole else ids[a:b]).tobytes() for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end: int = END, keep_words: bool = True) -> DataFrame:
@@ -129,15 +183,13 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            at = 0
-            while at < len(texts):
-                stop, size = at, 0
-                while stop < len(texts) and size < BYTES:
-                    size += len(texts[stop])
-                    stop += 1
+            size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            ends, at = np.cumsum(size), 0
+            while at < batch.num_rows:
+                stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BYTES, side="right")))
+                ids, texts = (batch.column(k).slice(at, stop - at).to_pylist() for k in (0, 1))
                 out = []
-                for doc, tokens in zip(ids[at:stop], token_bytes(texts[at:stop], tokenizer), strict=True):
+                for doc, tokens in zip(ids, token_bytes(texts, tokenizer), strict=True):
                     tokens += tail
                     for piece, start in enumerate(range(0, len(tokens), 4 * capacity)):
                         part = tokens[start : start + 4 * capacity]
@@ -147,7 +199,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
                 at = stop
         if not keep_words:
-            _words(tokenizer).known.clear()
+            _words(tokenizer).clear()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), body(text_col).alias("body")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
