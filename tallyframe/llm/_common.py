@@ -6,7 +6,7 @@ import contextlib
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +39,26 @@ def held(id_col: str, mod: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % mod
 
 
+#: Spark's own limit on the bytes of an Arrow batch, and ours.
+_BATCH_KEY, _BATCH_DEFAULT, _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20, "4m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches between the JVM and Python by bytes, as texts may be long and
+    each running task holds a few of them on both sides. A session's own setting stays."""
+    if (spark.conf.get(_BATCH_KEY, None) or "").rstrip("b") == str(_BATCH_DEFAULT):
+        spark.conf.set(_BATCH_KEY, _BATCH)
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of so many rows."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

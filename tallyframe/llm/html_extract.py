@@ -1,34 +1,38 @@
 """Main text of web pages by nearest-URL page differencing.
 
 Pages of one host are ordered by URL path; each page is paired with the neighbour
-that shares the longer path prefix, passing over pages with the same lines. The two pages' text lines are aligned by
-longest common subsequence, and the lines they share are deleted: menus and
-notices come back on the next page, an article doesn't.
-
-Differencing alone gives wrong results on this kind of page: menus, adverts and
-footers may differ from page to page, and near copies of an article on one host
-share their lines. So structure goes first: what markup declares as no content
-(navigation, header, footer, aside, form, script, advert, comment and notice
-containers) is left out, and lines in an article or main element are protected
-from deletion. All other lines stand or fall by differencing.
-
-Only line hashes and paths are shuffled for the pairing. The order is total
-(host, path, url, page id) and pairing works over a range partitioning of it, so a
-host that holds a third of all pages is spread over tasks; the first and last
-page of each partition, two rows a partition, find their outer neighbours.
+that shares the longer path prefix. The text lines of the two pages, those of menus
+and footers included, are aligned by longest common subsequence, and the lines they
+share are deleted: menus and notices come back on the next page, an article doesn't.
+
+Differencing alone gives wrong results where menus, adverts and footers differ from
+page to page, or near copies of an article stand on one host. So markup decides what
+the alignment leaves: lines in containers that are no content (navigation, header,
+footer, aside, form, advert, comment and notice) go even where they differ, and lines
+in an article or main element stay even where they are shared. Copies, and near copies
+by NEAR of their characters, are not differenced against each other: a page is paired
+with its other neighbour then, or keeps its lines.
+
+Only line hashes and sizes are written and sorted for the pairing; pages that lose no
+line to it are not shuffled. The order is total (host, path, url, page) and pairing
+works over a range partitioning of it, so a host that holds a third of all pages is
+spread over tasks; up to four rows of line hashes a partition find the outer
+neighbours, which the driver deals out.
 
 Edge cases: a null html, or one without text, gives the empty text; a null url is
-the empty host and path; a page without a neighbour on its host loses no line;
-pages with one id and url are told apart by a hash of their html; repeated rows
-and copies are not each other's neighbours, so they lose no line to one another; unclosed and stray
-tags are read as browsers would; extra columns are ignored; an empty table gives
-an empty result.
+the empty host and path; a page without a neighbour on its host loses no line by
+differencing; pages with one id and url are told apart by a hash of their html;
+repeated rows and copies lose no line to one another; of neighbours with equally long
+prefixes the earlier one is taken; a very long page is one row, and its alignment is
+halved until a part's table is TABLE_BITS; unclosed and stray tags are read as browsers
+would; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
@@ -38,10 +42,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import cut, table, tidy
+from ._common import KeySet, Scratch, cut, slices, table, tidy
 
 # Elements of HTML by role, and words of class, id and role attributes that mark no content;
-# ASIDE_WORDS do so on an article or main element too.
+# ASIDE_WORDS do so on an article or main element too, LINE_WORDS on elements that hold a line.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template".split())
 NOISE = frozenset("nav header footer aside form script style head noscript template iframe svg canvas button select option textarea dialog menu object math audio video title".split())
@@ -49,12 +53,20 @@ MAIN = frozenset("article main".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 NOISE_WORDS = frozenset("ad ads adv advert adverts advertisement banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer header masthead comment comments disqus replies reply share sharing social related recommended newsletter subscribe popup modal login signup search widget toolbar pagination pager copyright".split())
 ASIDE_WORDS = frozenset("ad ads advert advertisement sponsored promo comment comments reply replies disqus related".split())
+LINE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre td th li dd dt figure figcaption span a b i em strong small code".split())
+LINE_WORDS = frozenset("ad ads adv advert adverts advertisement sponsor sponsored promo promotion cookie cookies consent gdpr notice notices breadcrumb breadcrumbs comment comments disqus share sharing newsletter subscribe copyright".split())
+#: Words that begin a class name which tells what stands beside the element.
+BESIDE = frozenset("with without has no not".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|</?([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"[^a-z0-9]+")
+#: What a line is: open to differencing, in an article, or in a container that is no content.
+OPEN, SAFE, MARKED = 0, 1, 2
+#: Share of the characters of two pages' content that makes them near copies.
+NEAR = 0.9
 #: Bits of an alignment's table that is kept whole; larger ones are halved first.
 TABLE_BITS = 1 << 26
 
@@ -69,26 +81,29 @@ def _is_noise(name: str, attributes: str) -> bool:
         return True
     if "display:none" in found.get("style", "").replace(" ", ""):
         return True
-    names = f"{found.get('class', '')} {found.get('id', '')}"
+    names = f"{found.get('class', '')} {found.get('id', '')}".split()
     # An article may be a reader's comment or an advert; other words of its class say nothing against it.
-    return any(w in (ASIDE_WORDS if name in MAIN else NOISE_WORDS) for w in _WORD.split(names))
+    against = ASIDE_WORDS if name in MAIN else LINE_WORDS if name in LINE else NOISE_WORDS
+    parts = [[w for w in _WORD.split(n) if w] for n in names]
+    return any(p and p[0] not in BESIDE and not against.isdisjoint(p) for p in parts)
 
 
-def text_lines(page: str) -> list[tuple[str, bool]]:
-    """(line, protected) for each block of text that markup doesn't declare as no
-    content, in page order; character references decoded, white space as one space."""
-    lines: list[tuple[str, bool]] = []
+def text_lines(page: str) -> list[tuple[str, int]]:
+    """(line, what it is) for each block of text, in page order; character references
+    decoded, white space as one space."""
+    lines: list[tuple[str, int]] = []
     words: list[str] = []
+    aside: list[str] = []
     stack: list[tuple[str, bool, bool]] = []  # name, noise, main: as they hold inside
     noise = main = False
     skip_to = 0
 
     def close() -> None:
-        if words:
-            line = _SPACE.sub(" ", html.unescape("".join(words))).strip()
+        for said, what in ((words, SAFE if main else OPEN), (aside, MARKED)):
+            line = _SPACE.sub(" ", html.unescape("".join(said))).strip() if said else ""
             if line:
-                lines.append((line, main))
-            words.clear()
+                lines.append((line, what))
+            said.clear()
 
     for token in _TOKEN.finditer(page):
         if token.start() < skip_to:
@@ -96,10 +111,10 @@ def text_lines(page: str) -> list[tuple[str, bool]]:
         name = (token[1] or "").lower()
         if not name:
             said = token[0]
-            if not noise and (said == "<" or said[0] != "<"):
-                words.append(said)
-            elif not noise and said.startswith("<![CDATA["):
-                words.append(said[9:].removesuffix("]]>"))
+            if said == "<" or said[0] != "<":
+                (aside if noise else words).append(said)
+            elif said.startswith("<![CDATA["):
+                (aside if noise else words).append(said[9:].removesuffix("]]>"))
             continue
         if name in BLOCK:
             close()
@@ -111,7 +126,6 @@ def text_lines(page: str) -> list[tuple[str, bool]]:
                 if name not in BLOCK and any(stack[i][0] in BLOCK for i in range(at + 1, len(stack))):
                     stack.pop(at)  # an inline element closed across a block: only its own mark goes
                 else:
-                    close() if name in BLOCK else None
                     del stack[at:]
                 noise, main = (any(s[1] for s in stack), any(s[2] for s in stack))
             continue
@@ -228,114 +242,196 @@ def _prefix(a: str, b: str) -> int:
     return n
 
 
+def near_copies(one: tuple, other: tuple) -> bool:
+    """Whether two pages' content (hashes, sizes, kinds) is the same but for a few characters."""
+    x, y = ([(h, n) for h, n, k in zip(*page, strict=True) if k != MARKED] for page in (one, other))
+    if [h for h, _ in x] == [h for h, _ in y]:
+        return True
+    total, both = max(sum(n for _, n in x), sum(n for _, n in y)), Counter(h for h, _ in y)
+    same = 0
+    for h, n in x:
+        if both[h]:
+            both[h] -= 1
+            same += n
+    return same >= NEAR * total
+
+
+def _deleted(own: tuple, other: list[int]) -> tuple[list[int], int, int]:
+    """What shared_lines() tells of a page with the outline own, paired with the lines of other."""
+    both = {i for i, _ in common_lines(own[0], other)}
+    gone, at, shared, marked = [], 0, 0, 0
+    for i, kind in enumerate(own[2]):
+        if kind == OPEN and i in both:
+            gone.append(at)
+        shared += kind != SAFE and i in both
+        marked += kind == MARKED and i not in both
+        at += kind != MARKED
+    return gone, shared, marked
+
+
 def shared_lines(outline: DataFrame) -> DataFrame:
-    """(page, shared): indices of the lines each page shares with its neighbour.
+    """(page, gone, shared, marked): indices among a page's content lines of those that its
+    neighbour has too, how many unprotected lines differencing deletes, and how many only markup does.
 
-    outline: page (a long), host, path, url, lines (array of line hashes).
+    outline: page (a long), host, path, url, lines, sizes, kinds (arrays).
     """
     order = ["host", "path", "url", "page"]
     # The sorted rows are written, so that partitions and their ends stay as they are.
     sorted_rows = cut(outline.orderBy(*order)).withColumn("part", F.spark_partition_id())
+    columns = ["part", "host", "path", "page", "lines", "sizes", "kinds"]
+
+    def content(lines: list, kinds: list) -> list:
+        return [(h, k) for h, k in zip(lines, kinds, strict=True) if k != MARKED]
+
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        """(part, host, path, page, outline, content) of each row."""
+        for batch in slices(batches):
+            for part, host, path, page, *parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                yield part, host, path, page, tuple(parts), content(parts[0], parts[2])
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The first and last row, and between them those next to them that are no copy of theirs."""
         first = second = last = inner = None
-        for batch in batches:
-            for i, (host, lines) in enumerate(zip(batch.column(1).to_pylist(), batch.column(4).to_pylist(), strict=True)):
-                row = (host, lines, batch.slice(i, 1))
-                first = first or row
-                if second is None and row[:2] != first[:2]:
-                    second = row
-                if last is not None and row[:2] != last[:2]:
-                    inner = last
-                last = row
-        for row in (first, second, inner, last):
-            if row is not None:
-                yield row[2]
-
-    schema = "part int, host string, path string, page long, lines array<long>"
+        differ = lambda a, b: (a[1], a[5]) != (b[1], b[5])
+        for row in rows_of(batches):
+            first = first or row
+            if second is None and differ(row, first):
+                second = row
+            if last is not None and differ(row, last):
+                inner = last
+            last = row
+        found = [row for row in (first, second, inner, last) if row is not None]
+        if found:
+            made = [[row[k] for row in found] for k in range(4)] + [[row[4][k] for row in found] for k in range(3)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(made, _KINDS, strict=True)], names=columns)
+
+    schema = "part int, host string, path string, page long, lines array<long>, sizes array<int>, kinds array<tinyint>"
     edge: dict[int, list] = {}
-    for row in sorted_rows.select("part", "host", "path", "page", "lines").mapInArrow(ends, schema).toLocalIterator():
-        edge.setdefault(row["part"], []).append((row["host"], row["path"], row["page"], list(row["lines"] or [])))
+    for row in sorted_rows.select(*columns).mapInArrow(ends, schema).toLocalIterator():
+        whole = tuple(list(row[k]) for k in columns[4:])
+        edge.setdefault(row["part"], []).append((*row[:4], whole, content(whole[0], whole[2])))
     parts = sorted(edge)
 
     def beyond(start: tuple, rest: Iterator[list]) -> tuple | None:
         """The first row after start, on its host, that is no copy of it."""
         for rows in rest:
             for row in rows:
-                if row[0] != start[0] or row[3] != start[3]:
-                    return row if row[0] == start[0] else None
+                if row[1] != start[1] or row[5] != start[5]:
+                    return row if row[1] == start[1] else None
         return None
 
     outer = {p: (beyond(edge[p][0], (edge[q][::-1] for q in reversed(parts[:i]))), beyond(edge[p][-1], (edge[q] for q in parts[i + 1 :]))) for i, p in enumerate(parts)}
+    edge.clear()
 
     @tidy
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before, held, last, copies, done = None, None, None, [], []
+        before = held = after = None
+        copies: list[tuple[str, int]] = []
 
-        def settle(after) -> None:
+        def settle(after: tuple | None) -> list[tuple[int, list[int], int, int]]:
             """Pair held and its copies, which stand next to each other, with the rows around them."""
-            near = [x for x in (before, after) if x is not None and x[0] == held[0]]
-            shared: dict[int, list[int]] = {}
-            for path, page in copies if near else ():
-                k = max(range(len(near)), key=lambda k: _prefix(near[k][1], path))
-                if k not in shared:
-                    shared[k] = [i for i, _ in common_lines(held[3], near[k][3])]
-                done.append((page, shared[k]))
-
-        for batch in batches:
-            for part, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held is None:
-                    before, last = outer.get(part, (None, None))
-                elif row[0] != held[0] or row[3] != held[3]:
-                    settle(row)
-                    before, copies = (held[0], copies[-1][0], copies[-1][1], held[3]), []
-                held = row if not copies else held
-                copies.append((row[1], row[2]))
-            yield _pairs(done)
-            done.clear()
+            near = [x for x in (before, after) if x is not None and x[1] == held[1] and not near_copies(held[4], x[4])]
+            found: dict[int, tuple[list[int], int, int]] = {}
+            done = []
+            for path, page in copies:
+                k = max(range(len(near)), key=lambda k: _prefix(near[k][2], path), default=-1)
+                if k not in found:
+                    found[k] = _deleted(held[4], near[k][4][0] if near else [])
+                done.append((page, *found[k]))
+            return done
+
+        for row in rows_of(batches):
+            if held is None:
+                before, after = outer.get(row[0], (None, None))
+            elif row[1] != held[1] or row[5] != held[5]:
+                yield _pairs(settle(row))
+                before, copies, held = (held[0], held[1], copies[-1][0], copies[-1][1], *held[4:]), [], None
+            held = held or row
+            copies.append((row[2], row[3]))
         if held is not None:
-            settle(last)
-            yield _pairs(done)
+            yield _pairs(settle(after))
 
-    return sorted_rows.select("part", "host", "path", "page", "lines").mapInArrow(pair, "page long, shared array<int>")
+    return sorted_rows.select(*columns).mapInArrow(pair, "page long, gone array<int>, shared int, marked int")
 
 
-def _pairs(done: list[tuple[int, list[int]]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.int64()), pa.array([d[1] for d in done], pa.list_(pa.int32()))], names=["page", "shared"])
+_KINDS = (pa.int32(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int8()))
+_FOUND = (pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.int32())
 
 
-def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """One row per input row: page_id, url, text, n_chars."""
-    keyed = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), F.xxhash64(F.col(id_col).cast("string"), url_col, html_col).alias("page"))
+def _pairs(done: list[tuple[int, list[int], int, int]]) -> pa.RecordBatch:
+    columns = zip(*done, strict=True) if done else [[]] * len(_FOUND)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _FOUND, strict=True)], names=["page", "gone", "shared", "marked"])
+
+
+def _outline(keyed: DataFrame) -> DataFrame:
+    """What shared_lines() takes, of keyed(page, url, html)."""
 
     @tidy
-    def outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh64_intdigest
-        for batch in batches:
-            hosts, paths, lines = [], [], []
+        for batch in slices(batches):
+            places, lines, sizes, kinds = [], [], [], []
             for url, page in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                host, path = place(url)
-                hosts.append(host)
-                paths.append(path)
-                lines.append(np.array([digest(t.encode("utf-8", "replace")) for t, _ in text_lines(page or "")], np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hosts, pa.string()), pa.array(paths, pa.string()), batch.column(1), pa.array(lines, pa.list_(pa.int64()))], names=["page", "host", "path", "url", "lines"])
+                found = text_lines(page or "")
+                places.append(place(url))
+                lines.append(np.array([digest(t.encode("utf-8", "replace")) for t, _ in found], np.uint64).view(np.int64))
+                sizes.append([len(t) for t, _ in found])
+                kinds.append([k for _, k in found])
+            hosts, paths = zip(*places, strict=True)
+            made = [batch.column(0), pa.array(hosts, pa.string()), pa.array(paths, pa.string()), batch.column(1)]
+            yield pa.RecordBatch.from_arrays([*made, *(pa.array(c, t) for c, t in zip((lines, sizes, kinds), _KINDS[4:], strict=True))], names=["page", "host", "path", "url", "lines", "sizes", "kinds"])
+
+    return keyed.select("page", "url", "html").mapInArrow(run, "page long, host string, path string, url string, lines array<long>, sizes array<int>, kinds array<tinyint>")
 
-    found = shared_lines(keyed.select("page", "url", "html").mapInArrow(outline, "page long, host string, path string, url string, lines array<long>"))
-    # Repeated rows share their key and their lines.
-    found = found.where(F.size("shared") > 0).groupBy("page").agg(F.max("shared").alias("shared"))
+
+def _keyed(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
+    return pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), F.xxhash64(F.col(id_col).cast("string"), url_col, html_col).alias("page"))
+
+
+def line_report(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """One row: lines that differencing deletes (shared), and those that only markup does (marked).
+    Of copies that follow each other the first one's lines stand for all."""
+    with Scratch(pages.sparkSession) as scratch:
+        return cut(shared_lines(scratch.table(_outline(_keyed(pages, id_col, url_col, html_col)))).agg(F.sum("shared").alias("shared"), F.sum("marked").alias("marked")))
+
+
+def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """One row per input row: page_id, url, text, n_chars."""
+    keyed, spark = _keyed(pages, id_col, url_col, html_col), pages.sparkSession
+    with Scratch(spark) as scratch:
+        found = shared_lines(scratch.table(_outline(keyed))).where(F.size("gone") > 0)
+        # Repeated rows share their key and their lines.
+        found = cut(found.groupBy("page").agg(F.max("gone").alias("gone")))
+    known = spark.sparkContext.broadcast(KeySet.of(found, "page"))
+
+    def texts(batch: pa.RecordBatch, gone_of: list) -> pa.RecordBatch:
+        said = []
+        for page, gone in zip(batch.column(2).to_pylist(), gone_of, strict=True):
+            out, content = set(gone or ()), [t for t, k in text_lines(page or "") if k != MARKED]
+            said.append("\n".join(t for i, t in enumerate(content) if i not in out) if out else "\n".join(content))
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(said, pa.string()), pa.array([len(t) for t in said], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     @tidy
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = []
-            for page, shared in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                gone = set(shared or ())
-                texts.append("\n".join(t for i, (t, safe) in enumerate(text_lines(page or "")) if safe or i not in gone))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pages that lose no line to differencing."""
+        for batch in slices(batches):
+            batch = batch.filter(pa.array(~known.value.has(batch.column(3).to_numpy(zero_copy_only=False))))
+            yield texts(batch, [None] * batch.num_rows)
+
+    @tidy
+    def maybe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            yield batch.filter(pa.array(known.value.has(batch.column(3).to_numpy(zero_copy_only=False))))
+
+    @tidy
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            yield texts(batch, batch.column(3).to_pylist())
 
     kind = keyed.schema["page_id"].dataType.simpleString()
-    return keyed.join(found, "page", "left").select("page_id", "url", "html", "shared").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
+    out = f"page_id {kind}, url string, text string, n_chars long"
+    changed = keyed.mapInArrow(maybe, keyed.schema).join(found, "page", "left").select("page_id", "url", "html", "gone")
+    return keyed.mapInArrow(whole, out).unionByName(changed.mapInArrow(rest, out))
 
 
 def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ def test_common_lines_are_a_longest_common_subsequence():
 
 
 def lines(page):
-    return "\n".join(t for t, _ in html_extract.text_lines(page))
+    return "\n".join(t for t, k in html_extract.text_lines(page) if k != html_extract.MARKED)
 
 
 def test_blocks_and_noise():
@@ -41,24 +41,51 @@ def test_blocks_and_noise():
     assert lines("<p>a < b</p><p>c") == "a < b\nc"
     assert lines("<article><div class=notice>n</div><p>x") == "x"
     assert lines("<article><p>t</article><article class='comment'><p>me too</article>") == "t"
+    assert lines("<div class='content with-sidebar'><p>Main text</p><p class='search'>x</div><div class='sidebar'>s</div><p class='notice'>n") == "Main text\nx"
+    assert lines("<p>a <span class=ad>buy</span> b") == "a b"
+    assert html_extract.text_lines("<nav>m</nav><article>t</article><p>o") == [("m", html_extract.MARKED), ("t", html_extract.SAFE), ("o", html_extract.OPEN)]
     assert lines("") == "" and lines("<<<>>>") != "never raises"
 
 
 def test_extract(spark):
     shared = "<div>Home</div><div>Shared words</div>"
-    rows = [(1, "http://a.com/x/1", shared + "<p>One"), (2, "http://a.com/x/2", shared + "<p>Two"), (3, "http://a.com/x/3", f"<article>{shared}<p>Three</article>"), (4, "http://b.com/x/1", shared + "<p>One"), (5, None, None), (6, "bad url[", ""), (None, "http://a.com/x/9", "<p>No id"), (7, "http://c.com/", "<p>" + "long words " * 30_000), (8, "http://d.com/1", "<p>twice"), (8, "http://d.com/1", "<p>twice")]
+    rows = [(1, "http://a.com/x/1", shared + "<p>One and more"), (2, "http://a.com/x/2", shared + "<p>Two"), (3, "http://a.com/x/3", f"<article>{shared}<p>Three</article>"), (4, "http://b.com/x/1", shared + "<p>One"), (5, None, None), (6, "bad url[", ""), (None, "http://a.com/x/9", "<p>No id"), (7, "http://c.com/", "<p>" + "long words " * 30_000), (8, "http://d.com/1", "<p>twice"), (8, "http://d.com/1", "<p>twice")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'x' AS text", "1 AS page")
     found = html_extract.extract_text(df)
     assert found.columns == ["page_id", "url", "text", "n_chars"]
     got = {r["page_id"]: r["text"] for r in found.collect()}
-    assert got[1] == "One" and got[2] == "Two"
+    assert got[1] == "One and more" and got[2] == "Two"
     assert got[3] == "Home\nShared words\nThree"  # an article's own lines are safe
     assert got[4] == "Home\nShared words\nOne"  # no neighbour on its host
     assert got[5] == got[6] == "" and got[None] == "No id" and len(got[7]) == 11 * 30_000 - 1
-    assert got[8] == "" and found.count() == len(rows)
+    assert got[8] == "twice" and found.count() == len(rows)
     assert html_extract.extract_text(df.where("false")).count() == 0
 
 
+def test_differencing_decides_where_markup_says_nothing(spark):
+    """Pages without any telling markup: menus, adverts and footers that come back go by the alignment alone."""
+    chance = random.Random(9)
+    words = lambda n: " ".join("".join(chance.choices("abcdefghij", k=6)) for _ in range(n))
+    menu, foot, rows, want = [words(2) for _ in range(6)], [words(5) for _ in range(2)], [], {}
+    for i in range(40):
+        body = [words(30) for _ in range(chance.randrange(1, 6))]
+        want[i] = "\n".join(body)
+        rows.append((i, f"http://h.com/p/{i // 7}/{i}.html", "".join(f"<div class='x{k}'>{t}</div>" for k, t in enumerate([*menu, *body, *foot]))))
+    body = [words(30) for _ in range(12)]
+    for i, text in ((50, body), (51, body), (52, [*body[:-1], body[-1] + " x"])):  # a copy and a near copy
+        want[i] = "\n".join(text)
+        rows.append((i, f"http://i.com/{i}", "".join(f"<p>{t}" for t in text)))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    assert {r["page_id"]: r["text"] for r in html_extract.extract_text(df).collect()} == want
+    report = html_extract.line_report(df).first()
+    assert report["shared"] == 40 * 8 and report["marked"] == 0
+
+
+def test_alignment_and_markup_share_the_work(spark, small):
+    report = html_extract.line_report(spark.read.parquet(f"{small}/pages.parquet")).first()
+    assert report["shared"] > 0 and report["marked"] > 0
+
+
 def test_pages_against_their_articles(spark, small):
     import html
     import re
