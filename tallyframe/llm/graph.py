@@ -3,8 +3,8 @@
 Links stay distributed; only two sums a round come to the driver. Each round's
 links are checkpointed, so the plan stays short and lost executors cost a
 re-read, not a recomputation. Minimum labels are pre-aggregated before the
-shuffle; the joins back to the links are plain equi-joins, which adaptive
-execution splits where one node holds many links.
+shuffle and cut, so that both sides of the joins back to the links are plain
+exchanges, which adaptive execution splits where one node holds many links.
 """
 
 from __future__ import annotations
@@ -26,9 +26,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     mark = None
     while True:
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(now.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
-        low = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = cut(both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct())
+        low = cut(large.groupBy("hi").agg(F.min("lo").alias("m")))
         small = large.join(low, "hi").where("lo != m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).unionByName(low.select("hi", F.col("m").alias("lo")))
         now = cut(small.distinct())
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()

@@ -13,7 +13,10 @@ to the driver and doesn't grow with the rows.
 
 Edge cases: a null text, or one without a letter, is `und` with score 0; rows
 with a null label teach nothing; without any labelled row all texts are `und`;
-one language takes all texts with letters; extra columns are ignored.
+one language takes all texts with letters; of languages with equal losses the first
+in order of name is taken; repeated rows teach and are judged one by one; a very long
+text is hashed in pieces and judged by all of them; extra columns are ignored; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -135,8 +138,8 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mo
     return Model(languages, counts)
 
 
-def classify(docs: DataFrame, model: Model | None, carry: list[str], text_col: str = "text") -> DataFrame:
-    """One row per input row: the carried columns, lang_pred, score, ambiguous."""
+def classified(docs: DataFrame, model: Model | None, carry: list[str], text_col: str = "text") -> DataFrame:
+    """One row per input row: the carried columns as a struct, lang_pred, score, ambiguous."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = carry.index(text_col) if text_col in carry else None
 
@@ -163,7 +166,12 @@ def classify(docs: DataFrame, model: Model | None, carry: list[str], text_col: s
 
     rows = docs.select(F.struct(*carry).alias("carried"), *([body(text_col).alias("body")] if at is None else []))
     schema = StructType([rows.schema["carried"], *StructType.fromDDL("lang_pred string, score double, ambiguous boolean").fields])
-    return rows.mapInArrow(run, schema).select("carried.*", "lang_pred", "score", "ambiguous")
+    return rows.mapInArrow(run, schema)
+
+
+def classify(docs: DataFrame, model: Model | None, carry: list[str], text_col: str = "text") -> DataFrame:
+    """One row per input row: the carried columns, lang_pred, score, ambiguous."""
+    return classified(docs, model, carry, text_col).select("carried.*", "lang_pred", "score", "ambiguous")
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
