@@ -157,3 +157,15 @@ class KeySet:
             word = self.bits[where * self.WORDS + (s >> np.uint64(6)).astype(np.int64)]
             out &= (word >> (s & np.uint64(63))) & np.uint64(1) == 1
         return out
+
+
+def only(rows: DataFrame, known: KeySet) -> DataFrame:
+    """The rows whose first column, a long, is in known."""
+    shared = rows.sparkSession.sparkContext.broadcast(known)
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(shared.value.has(batch.column(0).to_numpy(zero_copy_only=False))))
+
+    return rows.mapInArrow(run, rows.schema)

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ._common import KeySet, Scratch, body, cut, table, tidy
+from ._common import KeySet, Scratch, body, cut, only, table, tidy
 
 #: Most words of a symbol after each round: one round of runs, then rounds of pairs.
 RUN, PAIRS = 2, (3, 4)
@@ -182,18 +182,6 @@ def _keyed(docs: DataFrame, carry: list[str], text_col: str) -> DataFrame:
     return docs.select(F.xxhash64(*names, text).alias("row"), text.alias("body"), F.struct(*carry).alias("carried"))
 
 
-def _only(rows: DataFrame, known: KeySet) -> DataFrame:
-    """The rows whose first column, a long, is in known."""
-    shared = rows.sparkSession.sparkContext.broadcast(known)
-
-    @tidy
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(shared.value.has(batch.column(0).to_numpy(zero_copy_only=False))))
-
-    return rows.mapInArrow(run, rows.schema)
-
-
 def repeated_spans(keyed: DataFrame, window: int = 35) -> DataFrame:
     """(row, low, end): sorted, disjoint word ranges [low, end) of each row that
     repeated windows cover, as two arrays. Rows without any are left out.
@@ -246,7 +234,7 @@ def repeated_spans(keyed: DataFrame, window: int = 35) -> DataFrame:
         open_kinds = kinds.join(open_phrases, "phrase", "left_semi").select("phrase", "one.*", F.when(F.col("n") > 1, 2).otherwise(1).alias("weight"))
         todo = cut(open_kinds.groupBy("row").agg(F.collect_list(F.struct("phrase", "low", "high", "weight")).alias("todo")))
         # Equal rows, which share their key, are each other's repeats: all they weigh is 2 or more, once or twice.
-        asked = _only(keyed.select("row", "body"), KeySet.of(todo, "row")).join(todo, "row")
+        asked = only(keyed.select("row", "body"), KeySet.of(todo, "row")).join(todo, "row")
         single = scratch.table(asked.mapInArrow(windows, "phrase long, window long, row long, low int, weight int"))
         twice = single.groupBy("phrase", "window").agg(F.sum("weight").alias("n")).where("n > 1").select("phrase", "window")
         late = single.where("weight = 1").join(twice, ["phrase", "window"], "left_semi").select("row", "low", (F.col("low") + window).alias("end"))
@@ -321,7 +309,7 @@ def substring_dedup(docs: DataFrame, finish: Callable[[bytes, list[bytes], list[
 
     out = StructType([keyed.schema["carried"], *StructType.fromDDL(schema).fields])
     apart = keyed.mapInArrow(untouched, out)
-    changed = _only(keyed, known).join(spans, "row", "left").select("carried", "body", "low", "end").mapInArrow(run, out)
+    changed = only(keyed, known).join(spans, "row", "left").select("carried", "body", "low", "end").mapInArrow(run, out)
     both = apart.unionByName(changed)
     return both.select("carried.*", *[c for c in both.columns if c != "carried"])
 
