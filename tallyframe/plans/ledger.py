@@ -115,7 +115,7 @@ def dashboard_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     V.duck(
         "records",
         """SELECT batch_id, bool_or(status <> 'confirmed' OR length(tax_raw) <> 8 OR processing_status IN ('need_review', 'provider_unavailable')) AS needs_review,
- count(*) FILTER (WHERE status <> 'confirmed' OR length(tax_raw) <> 8 OR processing_status IN ('need_review', 'provider_unavailable')) AS n_open FROM records WHERE rec_id % 50 <> 7 GROUP BY batch_id""",
+ count(*) FILTER (WHERE status <> 'confirmed' OR length(tax_raw) <> 8 OR processing_status IN ('need_review', 'provider_unavailable')) AS n_open FROM records GROUP BY batch_id""",
     )
 )
 def needs_review(spark: SparkSession, sf_dir: str) -> DataFrame:

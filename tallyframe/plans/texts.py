@@ -70,20 +70,24 @@ def region_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
         "words",
         _REGIONS
         + f"""
-, t AS (SELECT page_id, kind, cleaned, conf / 100.0::DOUBLE + {_score(3, 1.5, 1, 2.5, 0.5)} AS score FROM r WHERE pos BETWEEN 0 AND 3 AND page_id % 5 <> 1), v AS (SELECT page_id, kind, cleaned, conf / 100.0::DOUBLE + {_score(4, 2, 1.5, 3, 1)} AS score FROM r WHERE pos BETWEEN 4 AND 7 AND page_id % 5 <> 2)
-SELECT coalesce(t.page_id, v.page_id) AS page_id, coalesce(t.kind, v.kind) AS kind, CASE WHEN v.kind IS NOT NULL AND (t.kind IS NULL OR v.score >= t.score) THEN 'vision' ELSE 'tesseract' END AS winner, CASE WHEN v.kind IS NOT NULL AND (t.kind IS NULL OR v.score >= t.score) THEN v.cleaned ELSE t.cleaned END AS text,
- CASE WHEN v.kind IS NOT NULL AND (t.kind IS NULL OR v.score >= t.score) THEN t.cleaned ELSE v.cleaned END AS fallback, CAST(CASE WHEN v.kind IS NOT NULL AND (t.kind IS NULL OR v.score >= t.score) THEN v.score ELSE t.score END AS DOUBLE) AS score FROM t FULL JOIN v ON t.page_id = v.page_id AND t.kind = v.kind
+, t AS (SELECT page_id, CAST(floor(pos / 8) AS INT) AS region, kind, cleaned, conf / 100.0::DOUBLE + {_score(3, 1.5, 1, 2.5, 0.5)} AS score FROM r WHERE pos % 8 < 4 AND conf >= 20), v AS (SELECT page_id, CAST(floor(pos / 8) AS INT) AS region, kind, cleaned, conf / 100.0::DOUBLE + {_score(4, 2, 1.5, 3, 1)} AS score FROM r WHERE pos % 8 >= 4 AND conf >= 20), b AS (SELECT page_id, region, kind, t.cleaned AS tc, t.score AS ts, v.cleaned AS vc, v.score AS vs, v.score IS NOT NULL AND (t.score IS NULL OR v.score >= t.score) AS wins FROM t FULL JOIN v USING (page_id, region, kind))
+SELECT page_id, region, kind, CASE WHEN wins THEN 'vision' ELSE 'tesseract' END AS winner, CASE WHEN wins THEN vc ELSE tc END AS text, CASE WHEN wins THEN tc ELSE vc END AS fallback, CAST(CASE WHEN wins THEN vs ELSE ts END AS DOUBLE) AS score FROM b
 """,
     )
 )
 def region_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two recognisers' texts of each region; the better score wins, ties the second's."""
-    rows = _regions(spark, sf_dir)
-    side = lambda vision, low, miss: rows.where(F.col("pos").between(low, low + 3) & (F.col("page_id") % 5 != miss)).select("page_id", "kind", F.struct("cleaned", S.region_score(F.col("kind"), F.col("cleaned"), F.col("conf") / 100.0, vision).alias("score")).alias("v" if vision else "t"))
-    both = side(False, 0, 1).join(side(True, 4, 2), ["page_id", "kind"], "full_outer")
+    """Two recognisers' texts of each region, four of eight words each; the better score wins, ties
+    the second's. A recogniser that is less than 20 % sure has read nothing."""
+    rows = _regions(spark, sf_dir).where("conf >= 20").withColumn("region", F.floor(F.col("pos") / 8).cast("int"))
+
+    def side(vision: bool) -> DataFrame:
+        score = S.region_score(F.col("kind"), F.col("cleaned"), F.col("conf") / 100.0, vision).alias("score")
+        return rows.where((F.col("pos") % 8 >= 4) == F.lit(vision)).select("page_id", "region", "kind", F.struct("cleaned", score).alias("v" if vision else "t"))
+
+    both = side(False).join(side(True), ["page_id", "region", "kind"], "full_outer")
     wins = F.col("v").isNotNull() & (F.col("t").isNull() | (F.col("v.score") >= F.col("t.score")))
     pick = lambda a, b: F.when(wins, F.col(a)).otherwise(F.col(b))
-    return both.select("page_id", "kind", F.when(wins, "vision").otherwise("tesseract").alias("winner"), pick("v.cleaned", "t.cleaned").alias("text"), pick("t.cleaned", "v.cleaned").alias("fallback"), pick("v.score", "t.score").alias("score"))
+    return both.select("page_id", "region", "kind", F.when(wins, "vision").otherwise("tesseract").alias("winner"), pick("v.cleaned", "t.cleaned").alias("text"), pick("t.cleaned", "v.cleaned").alias("fallback"), pick("v.score", "t.score").alias("score"))
 
 
 @query(V.duck("items records", _LISTS + ", u AS (SELECT rec_id, qs, ps, unnest(range(1, greatest(len(coalesce(qs, [])), len(coalesce(ps, []))) + 1)) AS i FROM records JOIN grouped USING (rec_id)) SELECT rec_id, CAST(i AS INT) AS line_no, qs[i] AS quantity, ps[i] AS unit_price, qs[i] * ps[i] AS amount FROM u"))

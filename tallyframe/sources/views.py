@@ -37,27 +37,28 @@ SELECT o_orderkey AS rec_id,
 FROM {orders}
 """
 
-_TOKENS_SPARK = r"SELECT doc_id, CAST(pos AS BIGINT) AS pos, tok FROM {documents} LATERAL VIEW posexplode(split(text, '[ \\n]+')) t AS pos, tok"
-_TOKENS_DUCK = r"SELECT doc_id, CAST(i - 1 AS BIGINT) AS pos, toks[i] AS tok FROM (SELECT doc_id, toks, unnest(range(1, len(toks) + 1)) AS i FROM (SELECT doc_id, string_split_regex(text, '[ \n]+') AS toks FROM documents))"
-
-_BOXES = """
-SELECT doc_id AS page_id, pos,
- CASE WHEN pos = 0 THEN CASE WHEN doc_id % 5 = 0 THEN tok ELSE concat(chr(CAST(65 + doc_id % 26 AS INT)), chr(CAST(65 + (doc_id * 7) % 26 AS INT))) END
-      WHEN pos = 1 THEN lpad(CAST((doc_id * 7919 + 104729) % 100000000 AS STRING), 8, '0')
-      WHEN pos = 5 THEN CASE WHEN doc_id % 7 = 0 THEN '買受人' ELSE '統一編號' END
-      WHEN pos = 6 THEN CASE WHEN doc_id % 11 = 0 THEN lpad(CAST(doc_id AS STRING), 7, '0') ELSE lpad(CAST((doc_id * 6007 + 31337) % 100000000 AS STRING), 8, '0') END
+#: Each document is dealt out in pages of 40 words, so that a page is bounded and every word of a text is on one.
+_PAGES = "SELECT doc_id * 1000003 + CAST(floor(i / 40) AS BIGINT) AS page_id, i % 40 AS pos, tok FROM ({words})"
+_TOKENS_SPARK = _PAGES.format(words=r"SELECT doc_id, CAST(i AS BIGINT) AS i, tok FROM {documents} LATERAL VIEW posexplode(split(text, '[ \\n]+')) t AS i, tok")
+_TOKENS_DUCK = _PAGES.format(words=r"SELECT doc_id, CAST(i - 1 AS BIGINT) AS i, toks[i] AS tok FROM (SELECT doc_id, toks, unnest(range(1, len(toks) + 1)) AS i FROM (SELECT doc_id, string_split_regex(text, '[ \n]+') AS toks FROM documents))")
+
+WORDS = """
+SELECT page_id, pos,
+ CASE WHEN pos = 0 THEN CASE WHEN page_id % 5 = 0 THEN tok ELSE concat(chr(CAST(65 + page_id % 26 AS INT)), chr(CAST(65 + (page_id * 7) % 26 AS INT))) END
+      WHEN pos = 1 THEN lpad(CAST((page_id * 7919 + 104729) % 100000000 AS STRING), 8, '0')
+      WHEN pos = 5 THEN CASE WHEN page_id % 7 = 0 THEN '買受人' ELSE '統一編號' END
+      WHEN pos = 6 THEN CASE WHEN page_id % 11 = 0 THEN lpad(CAST(page_id AS STRING), 7, '0') ELSE lpad(CAST((page_id * 6007 + 31337) % 100000000 AS STRING), 8, '0') END
       WHEN pos = 10 THEN '品名' WHEN pos = 11 THEN '數量' WHEN pos = 12 THEN '單價' WHEN pos = 13 THEN '金額'
-      WHEN pos >= 15 AND pos % 5 = 1 AND (doc_id + pos) % 9 <> 0 THEN CAST(1 + (doc_id + pos - 1) % 12 AS STRING)
-      WHEN pos >= 15 AND pos % 5 = 2 THEN CAST(100 + (doc_id * 31 + (pos - 2) * 17) % 900 AS STRING)
-      WHEN pos >= 15 AND pos % 5 = 3 THEN CAST((1 + (doc_id + pos - 3) % 12) * (100 + (doc_id * 31 + (pos - 3) * 17) % 900) + CASE WHEN (doc_id + pos) % 4 = 0 THEN 1 ELSE 0 END AS STRING)
+      WHEN pos >= 15 AND pos % 5 = 1 AND (page_id + pos) % 9 <> 0 THEN CAST(1 + (page_id + pos - 1) % 12 AS STRING)
+      WHEN pos >= 15 AND pos % 5 = 2 THEN CAST(100 + (page_id * 31 + (pos - 2) * 17) % 900 AS STRING)
+      WHEN pos >= 15 AND pos % 5 = 3 THEN CAST((1 + (page_id + pos - 3) % 12) * (100 + (page_id * 31 + (pos - 3) * 17) % 900) + CASE WHEN (page_id + pos) % 4 = 0 THEN 1 ELSE 0 END AS STRING)
       ELSE tok END AS text,
  CAST(CASE WHEN pos = 1 THEN 160 WHEN pos = 6 THEN 200 WHEN pos % 5 = 0 THEN 40 WHEN pos < 10 AND pos % 5 = 2 THEN 520 WHEN pos < 10 AND pos % 5 = 3 THEN 700
       WHEN pos % 5 = 1 THEN 390 WHEN pos % 5 = 2 THEN 520 WHEN pos % 5 = 3 THEN 650 ELSE 900 END AS INT) AS left_,
- CAST(40 + 60 * CAST(floor(pos / 5) AS BIGINT) + CASE WHEN doc_id % 4 = 3 THEN CASE WHEN pos % 5 = 3 THEN 32 ELSE 0 END ELSE (pos * 11 + doc_id * 5) % 33 END AS INT) AS top_,
- CAST(8 * length(tok) + 8 AS INT) AS width_, 24 AS height_, CAST((pos * 31 + doc_id * 7) % 101 AS INT) AS conf
-FROM {tokens}"""
-#: The oracles' SQL reads the first words of a page only; the queries read all of them.
-WORDS = _BOXES + " WHERE pos < 40\n"
+ CAST(40 + 60 * CAST(floor(pos / 5) AS BIGINT) + CASE WHEN page_id % 4 = 3 THEN CASE WHEN pos % 5 = 3 THEN 32 ELSE 0 END ELSE (pos * 11 + page_id * 5) % 33 END AS INT) AS top_,
+ CAST(8 * length(tok) + 8 AS INT) AS width_, 24 AS height_, CAST((pos * 31 + page_id * 7) % 101 AS INT) AS conf
+FROM {tokens}
+"""
 
 CANDIDATES = """
 SELECT r.rec_id, p.prio, p.source,
@@ -89,7 +90,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = spark.sql(_TOKENS_SPARK, documents=table(spark, sf_dir, "documents"))
-    return spark.sql(_BOXES, tokens=tokens)
+    return spark.sql(WORDS, tokens=tokens)
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,37 +1,29 @@
-"""The queries on words read whole texts, not only their first words."""
+"""The queries on words read whole texts, in pages of 40 words."""
 
 import duckdb
-import pytest
 
 from tallyframe import plans
 from tallyframe.sources import views
 
 from .test_oracles import ordered
 
-CUT = " WHERE pos < 40"
-
-
-@pytest.fixture(scope="module")
-def long_pages(spark, small, tmp_path_factory):
-    """(folder, DuckDB connection) with a few documents of 60 to 140 words."""
-    folder = str(tmp_path_factory.mktemp("long"))
-    documents = spark.read.parquet(f"{small}/documents.parquet")
-    documents.where("size(split(text, '[ \\\\n]+')) BETWEEN 60 AND 140").orderBy("doc_id").limit(6).coalesce(1).write.parquet(f"{folder}/documents.parquet")
-    connection = duckdb.connect()
-    connection.sql(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
-    return folder, connection
-
 
 def test_words_of_whole_texts(spark, small):
     documents = spark.read.parquet(f"{small}/documents.parquet")
-    assert views.words(spark, small).count() == documents.selectExpr("sum(size(split(text, '[ \\\\n]+')))").first()[0]
+    words = views.words(spark, small)
+    assert words.count() == documents.selectExpr("sum(size(split(text, '[ \\\\n]+')))").first()[0]
+    assert words.select("page_id", "pos").distinct().count() == words.count()
+    assert words.agg({"pos": "max"}).first()[0] == 39
 
 
-@pytest.mark.parametrize("name", ["words_center", "row_groups_30", "nearest_number", "extract_tax_id", "layout_bands", "pixel_quantiles", "money_text", "tsv_words"])
-def test_query_on_whole_texts(spark, long_pages, name):
-    """Against the query's SQL with its cut taken out."""
-    folder, connection = long_pages
-    found = plans.QUERIES[name](spark, folder)
-    want = connection.sql(plans.ORACLES[name].replace(CUT, ""))
+def test_region_merge_reads_every_word(spark, small, tmp_path):
+    """A region per eight words, on every page."""
+    docs = spark.createDataFrame([(1, " ".join(f"{i}" for i in range(100)), "en", "x", 1), (2, None, "en", "x", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    found = plans.QUERIES["region_merge"](spark, str(tmp_path))
     rows = found.collect()
-    assert rows and ordered(rows, found.columns) == ordered(want.fetchall(), want.columns)
+    assert {(r["page_id"] - 1000003, r["region"]) for r in rows} == {(p, k) for p in range(3) for k in range(5) if 40 * p + 8 * k < 100}
+    connection = duckdb.connect()
+    connection.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = connection.sql(plans.ORACLES["region_merge"])
+    assert ordered(rows, found.columns) == ordered(want.fetchall(), want.columns)
