@@ -6,7 +6,7 @@ nearest centre first, and collects leaves; how many it visits is calibrated: it
 widened until the queries of a second bounded sample (PROBES), searched by brute
 force in the first one, find the TARGET share of their neighbours.
 
-Equal vectors are one entry of the index with its k + 1 smallest ids (more of them
+Equal vectors are one entry of the index with its k + 1 smallest different ids (more of them
 can't be among k nearest besides the query itself), so a vector that a third of all
 rows share is compared once. Full leaves are dealt out in blocks of members, and
 their queries in blocks of queries; each block pair gives the k + 1 best of each
@@ -14,8 +14,9 @@ of its queries.
 
 Edge cases: vectors that are null, zero, empty, or hold a null or non-finite
 component take no part, nor do rows with a null id, nor vectors of another than
-the most frequent length (of equally frequent ones, the longest); repeated ids
-are separate rows; ties go to the smaller id; with fewer than k candidates all
+the most frequent length (of equally frequent ones, the longest); rows that repeat
+an id with another vector are candidates of their own, rows that repeat both count
+as one; ties go to the smaller id; with fewer than k candidates all
 are returned; extra columns are ignored; an empty table gives an empty result.
 """
 
@@ -141,7 +142,8 @@ def _vectors(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def _classes(valid: DataFrame, most: int) -> DataFrame:
-    """(vec, ids): each different vector with its `most` smallest ids. Merged in map
+    """(vec, ids, entry, key): each different vector with its `most` smallest different ids, the
+    smallest of them and a hash of the vector. Merged in map
     tasks first, so a frequent vector leaves each of them as one row."""
 
     @tidy
@@ -149,7 +151,7 @@ def _classes(valid: DataFrame, most: int) -> DataFrame:
         held: dict[bytes, list[int]] = {}
         for batch in batches:
             for ids, vec in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                held[vec] = sorted(held.get(vec, []) + ids)[:most]
+                held[vec] = sorted({*held.get(vec, ()), *ids})[:most]
             if len(held) > 50_000:
                 yield _packed(held)
                 held = {}
@@ -160,11 +162,11 @@ def _classes(valid: DataFrame, most: int) -> DataFrame:
         held: dict[bytes, list[int]] = {}
         for batch in batches:
             for ids, vec in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                held[vec] = sorted(held.get(vec, []) + ids)[:most]
+                held[vec] = sorted({*held.get(vec, ()), *ids})[:most]
         yield _packed(held)
 
     local = valid.select(F.array("id").alias("ids"), "vec").mapInArrow(merge, "ids array<long>, vec binary")
-    return local.repartition("vec").mapInArrow(own, "ids array<long>, vec binary").select("vec", "ids", F.col("ids")[0].alias("entry"))
+    return local.repartition("vec").mapInArrow(own, "ids array<long>, vec binary").select("vec", "ids", F.col("ids")[0].alias("entry"), F.xxhash64("vec").alias("key"))
 
 
 def _packed(held: dict[bytes, list[int]]) -> pa.RecordBatch:
@@ -183,7 +185,7 @@ def search(rows: DataFrame, asks: Column, k: int = 5, id_col: str = "vec_id", ve
     valid = _vectors(rows, id_col, vector_col)
     length = valid.groupBy(F.length("vec").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
     index = cut(_classes(valid.where(F.length("vec") == (length["n"] if length else 0)), k + 1))
-    asking = _vectors(rows.where(asks), id_col, vector_col).join(index.select("vec", "entry"), "vec")
+    asking = _vectors(rows.where(asks), id_col, vector_col).join(index.select("vec", "key"), "vec")
 
     fitted = index.orderBy(F.xxhash64("entry", F.lit(1)), "entry").limit(sample).select("vec").toArrow().column(0)
     points = unit(_matrix(fitted)) if len(fitted) else np.zeros((0, 1))
@@ -197,7 +199,7 @@ def search(rows: DataFrame, asks: Column, k: int = 5, id_col: str = "vec_id", ve
         for batch in batches:
             if batch.num_rows:
                 leaf = shared.value.place(unit(_matrix(batch.column(0))))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf, pa.int32())], names=["vec", "ids", "entry", "leaf"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf, pa.int32())], names=["vec", "ids", "entry", "key", "leaf"])
 
     @tidy
     def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,8 +208,8 @@ def search(rows: DataFrame, asks: Column, k: int = 5, id_col: str = "vec_id", ve
                 leaves = [shared.value.visits(v, visits) for v in unit(_matrix(batch.column(0)))]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaves, pa.list_(pa.int32()))], names=["vec", "query", "leaves"])
 
-    members = cut(index.mapInArrow(placed, "vec binary, ids array<long>, entry long, leaf int"))
-    queries = cut(asking.select("vec", F.col("entry").alias("query")).distinct().mapInArrow(walked, "vec binary, query long, leaves array<int>"))
+    members = cut(index.mapInArrow(placed, "vec binary, ids array<long>, entry long, key long, leaf int"))
+    queries = cut(asking.select("vec", F.col("key").alias("query")).distinct().mapInArrow(walked, "vec binary, query long, leaves array<int>"))
     visited = queries.select("vec", "query", F.explode("leaves").alias("leaf"))
     # At most a row a leaf each, and the leaves are as many as the sample allows.
     full = {r["leaf"]: -(-r["count"] // MEMBERS) for r in members.groupBy("leaf").count().collect()}
@@ -218,11 +220,11 @@ def search(rows: DataFrame, asks: Column, k: int = 5, id_col: str = "vec_id", ve
         out = df.join(F.broadcast(parts), "leaf").withColumn(own, F.pmod(F.xxhash64(key), F.col(mine)).cast("int"))
         return out.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(theirs) - 1))).drop("mine", "theirs")
 
-    inside = dealt(members, "entry", "m", "q", "mine", "theirs").select("leaf", "m", "q", "vec", "ids", "entry")
+    inside = dealt(members, "key", "m", "q", "mine", "theirs").select("leaf", "m", "q", "vec", "ids", "entry", "key")
     outside = dealt(visited, "query", "q", "m", "theirs", "mine").select("leaf", "m", "q", "vec", "query")
 
     def compare(theirs: pa.Table, ours: pa.Table) -> pa.Table:
-        kinds = [("query", pa.int64()), ("entry", pa.int64()), ("ids", pa.list_(pa.int64())), ("score", pa.float64())]
+        kinds = [("query", pa.int64()), ("entry", pa.int64()), ("key", pa.int64()), ("ids", pa.list_(pa.int64())), ("score", pa.float64())]
         if not theirs.num_rows or not ours.num_rows:
             return pa.table({n: pa.array([], t) for n, t in kinds})
         a, b = _matrix(theirs.column("vec")), _matrix(ours.column("vec"))
@@ -231,18 +233,18 @@ def search(rows: DataFrame, asks: Column, k: int = 5, id_col: str = "vec_id", ve
         best = np.lexsort((np.broadcast_to(entry, score.shape), -score), axis=1)[:, : k + 1]
         flat, who = best.ravel(), np.repeat(np.arange(len(a)), best.shape[1])
         ids = ours.column("ids").take(pa.array(flat)).combine_chunks()
-        return pa.table({"query": pa.array(theirs.column("query").to_numpy()[who]), "entry": pa.array(entry[flat]), "ids": ids, "score": pa.array(score[who, flat])})
+        return pa.table({"query": pa.array(theirs.column("query").to_numpy()[who]), "entry": pa.array(entry[flat]), "key": pa.array(ours.column("key").to_numpy()[flat]), "ids": ids, "score": pa.array(score[who, flat])})
 
     blocks = ["leaf", "m", "q"]
-    found = outside.groupBy(*blocks).cogroup(inside.groupBy(*blocks)).applyInArrow(compare, "query long, entry long, ids array<long>, score double")
-    best = Window.partitionBy("query").orderBy(F.desc("score"), "entry")
+    found = outside.groupBy(*blocks).cogroup(inside.groupBy(*blocks)).applyInArrow(compare, "query long, entry long, key long, ids array<long>, score double")
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "entry", "key")
     top = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k + 1)
-    lists = top.groupBy("query").agg(F.collect_list(F.struct("score", "ids")).alias("all"))
+    lists = top.groupBy("query").agg(F.collect_list(F.struct("score", "ids", "key")).alias("all"))
     # At most (k + 1)**2 ids of each vector that asks; each of its rows leaves itself out.
-    pairs = F.flatten(F.transform("all", lambda x: F.transform(x["ids"], lambda i: F.struct((-x["score"]).alias("far"), i.alias("id")))))
+    pairs = F.flatten(F.transform("all", lambda x: F.transform(x["ids"], lambda i: F.struct((-x["score"]).alias("far"), i.alias("id"), x["key"].alias("key")))))
     sorted_pairs = lists.select("query", F.array_sort(pairs).alias("near"))
-    answers = asking.select(F.col("id").alias("query_id"), F.col("entry").alias("query")).join(sorted_pairs, "query")
-    own = F.slice(F.filter("near", lambda x: x["id"] != F.col("query_id")), 1, k)
+    answers = asking.select(F.col("id").alias("query_id"), F.col("key").alias("query")).join(sorted_pairs, "query")
+    own = F.slice(F.filter("near", lambda x: (x["id"] != F.col("query_id")) | (x["key"] != F.col("query"))), 1, k)
     return answers.select("query_id", F.posexplode(own).alias("pos", "x")).select("query_id", (F.col("pos") + 1).alias("rank"), F.col("x.id").alias("vec_id"), (-F.col("x.far")).alias("score"))
 
 

@@ -19,8 +19,10 @@ mask covers the texts of the assistant turns, as code point ranges.
 Edge cases: a null text is empty; a null role is the empty other role; a null
 turn sorts first; rows with a null conversation form one conversation; ties in
 turn are ordered by role and text; repeated rows are repeated turns; a record in
-an unknown layout, or that is no JSON object, goes to unmapped(); an empty table
-gives an empty result.
+an unknown layout, or that is no JSON object, or nested too deep to parse, or holds
+something else than objects among its turns, or an id that is no integer, goes to
+unmapped(); a very long text is one string of its task, as its whole conversation is;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -88,31 +90,52 @@ def _registry() -> tuple[dict[str, dict], frozenset[str]]:
 
 def nested_paths(value: object, lead: str = "") -> set[str]:
     """Paths of all leaves; an element of a list is []."""
-    if isinstance(value, dict):
-        return {p for k, v in value.items() for p in nested_paths(v, f"{lead}.{k}" if lead else k)}
-    if isinstance(value, list):
-        return {p for v in value for p in nested_paths(v, lead + "[]")}
-    return {lead}
+    found, todo = set(), [(value, lead)]
+    while todo:
+        value, lead = todo.pop()
+        if isinstance(value, dict):
+            todo += [(v, f"{lead}.{k}" if lead else k) for k, v in value.items()]
+        elif isinstance(value, list):
+            todo += [(v, lead + "[]") for v in value]
+        else:
+            found.add(lead)
+    return found
+
+
+def _long(value: object) -> bool:
+    return value is None or isinstance(value, int) and not isinstance(value, bool) and -(2**63) <= value < 2**63
+
+
+def _said(value: object) -> str:
+    """A scalar as text; halves of characters, which JSON can hold, become U+FFFD."""
+    return "" if value is None else str(value).encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
 
 
 def canonical_turns(record: object) -> tuple[object, list[tuple[object, str, str]]] | None:
-    """(conversation, [(turn, role, text)]) of a record, None if no layout fits."""
+    """(conversation, [(turn, role, text)]) of a record, None if no layout fits: its items must be
+    objects, its fields scalars, and its conversation and turn integers of 64 bits or null."""
     layouts, known = _registry()
     if not isinstance(record, dict):
         return None
     layout = layouts.get(fingerprint(nested_paths(record) & known))
     if layout is None:
         return None
+    items = record.get(layout["each"]) if layout["each"] else [record]
+    named = {f for role, fields in layout["turns"] for f in (*fields.split("+"), *([role[1:]] if role[0] == "@" else []))}
+    if not isinstance(items, list) or not all(isinstance(x, dict) and not any(isinstance(x.get(f), (dict, list)) for f in named) for x in items):
+        return None
+    if not all(_long(record.get(layout[k])) for k in ("conversation", "turn") if k in layout):
+        return None
     turns = []
-    for i, item in enumerate(record[layout["each"]] if layout["each"] else [record]):
+    for i, item in enumerate(items):
         for k, (role, fields) in enumerate(layout["turns"]):
             present = [f for f in fields.split("+") if f in item]
             if not present:
                 continue
-            name = (item.get(role[1:]) or "") if role[0] == "@" else role
+            name = _said(item.get(role[1:])) if role[0] == "@" else role
             name = layout.get("roles", {}).get(name, name)
-            text = "\n".join(str(item[f]) for f in present if item[f]) if len(present) > 1 else item[present[0]]
-            turns.append((record.get(layout["turn"]) if "turn" in layout else i * len(layout["turns"]) + k, str(name), "" if text is None else str(text)))
+            text = "\n".join(_said(item[f]) for f in present if item[f]) if len(present) > 1 else _said(item[present[0]])
+            turns.append((record.get(layout["turn"]) if "turn" in layout else i * len(layout["turns"]) + k, name, text))
     return record.get(layout["conversation"]) if "conversation" in layout else None, turns
 
 
@@ -153,7 +176,7 @@ def read_chat(line: str) -> list[tuple[str, str]]:
 def _parsed(value: str | None) -> object:
     try:
         return json.loads(value) if value else None
-    except ValueError:
+    except (ValueError, RecursionError):
         return None
 
 

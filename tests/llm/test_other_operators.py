@@ -168,3 +168,29 @@ def test_odd_vectors(spark):
     assert [v for _, v, _ in sorted(got[50])] == [0, 1, 2, 3, 10]
     assert ann.search(df.where("vec_id < 1"), F.col("vec_id") == 0).count() == 0
     assert ann.search(df.where("false"), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_rows_that_repeat_ids(spark):
+    same, other = [1.0, 0.0, 0.0], [0.9, 0.1, 0.0]
+    rows = [(50, same)] * 8 + [(60, same), (61, other), (62, [0.5, 0.5, 0.0]), (63, [0.0, 0.0, 1.0]), (50, [0.0, 1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = ann.search(df, ann.F.col("vec_id") == 50).select("query_id", "rank", "vec_id").distinct().collect()
+    lists = {}
+    for r in sorted(found, key=lambda r: (r["rank"], r["vec_id"])):
+        lists.setdefault(r["rank"], set()).add(r["vec_id"])
+    # 60, 61, 62, 50, 63 for the rows of the first vector; 62, 61, 50, 60, 63 for the other row of id 50.
+    assert lists == {1: {60, 62}, 2: {61}, 3: {62, 50}, 4: {50, 60}, 5: {63}}
+    first = [r["vec_id"] for r in ann.search(df.where("vec_id <> 50").unionByName(df.where("vec_id = 50").limit(8)), ann.F.col("vec_id") == 50).where("rank = 1").distinct().collect()]
+    assert 60 in first
+
+
+def test_records_that_fit_nothing(spark):
+    deep = "[" * 100_000 + "]" * 100_000
+    nested = json.dumps({"messages": [{"role": "u", "content": "x"}]})[:-1] + ', "x": ' + "[" * 900 + "]" * 900 + "}"
+    bad = ['{"messages":[{"role":"u","content":"x"}, null]}', '{"messages":[{"role":"u","content":"x"}, "content"]}', '{"messages":[{"role":"u","content":"x"}, {"role":["a"],"content":"y"}]}', deep, '{"conv_id":"x","turn":1,"role":"user","text":"t"}', '{"conv_id":1,"turn":1.5,"role":"user","text":"t"}', '{"conv_id":99999999999999999999,"turn":1,"role":"user","text":"t"}', "7", None, "{", '{"messages":"content"}']
+    good = [nested, '{"conv_id":null,"turn":null,"role":null,"text":null}', '{"messages":[{"role":"user","content":"\\ud800"}]}', '{"conversations":[{"from":"human","value":3}]}']
+    df = spark.createDataFrame(list(enumerate([*bad, *good])), "record_id long, record string")
+    assert {r["id"] for r in chat_format.unmapped(df).collect()} == set(range(len(bad)))
+    turns = chat_format.turns_of(df)
+    assert {(r["role"], r["text"]) for r in turns.collect()} == {("u", "x"), ("", ""), ("user", "\ufffd"), ("user", "3")}
+    assert chat_format.digests(chat_format.format_chats(turns)).count() == 4
