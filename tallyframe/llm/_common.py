@@ -148,7 +148,9 @@ class KeySet:
                 yield pa.RecordBatch.from_arrays([pa.array(list(held)), pa.array([b.tobytes() for b in held.values()])], names=["block", "bits"])
 
         found = rows.mapInArrow(block, "block long, key long").repartition("block").mapInArrow(fill, "block long, bits binary")
-        return cls({r["block"]: bytes(r["bits"]) for r in found.toLocalIterator()}, count)
+        # At most LIMIT bytes, by one job; an iterator would run one a partition.
+        got = found.toArrow()
+        return cls(dict(zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True)), count)
 
     def has(self, keys: np.ndarray) -> np.ndarray:
         where, spots = self._spots(np.asarray(keys, np.int64), self.count)
