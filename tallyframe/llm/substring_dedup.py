@@ -230,13 +230,14 @@ def repeated_spans(keyed: DataFrame, window: int = 35) -> DataFrame:
         kinds = scratch.table(places.groupBy("phrase", "stretch").agg(F.count("*").alias("n"), F.min(F.struct("row", "low", "high")).alias("one")))
         settled = places.join(kinds.where("n > 1").select("phrase", "stretch"), ["phrase", "stretch"], "left_semi").select("row", "low", (F.col("high") + window).alias("end"))
         # Where a phrase has a stretch that occurs once, its windows are compared with those of one occurrence of each other stretch.
-        open_phrases = kinds.groupBy("phrase").agg(F.min("n").alias("least")).where("least = 1").select("phrase")
+        # What the joins look up is written first: a join with an aggregate under it is not split where one key is hot.
+        open_phrases = scratch.table(kinds.groupBy("phrase").agg(F.min("n").alias("least")).where("least = 1").select("phrase"))
         open_kinds = kinds.join(open_phrases, "phrase", "left_semi").select("phrase", "one.*", F.when(F.col("n") > 1, 2).otherwise(1).alias("weight"))
         todo = cut(open_kinds.groupBy("row").agg(F.collect_list(F.struct("phrase", "low", "high", "weight")).alias("todo")))
         # Equal rows, which share their key, are each other's repeats: all they weigh is 2 or more, once or twice.
         asked = only(keyed.select("row", "body"), KeySet.of(todo, "row")).join(todo, "row")
         single = scratch.table(asked.mapInArrow(windows, "phrase long, window long, row long, low int, weight int"))
-        twice = single.groupBy("phrase", "window").agg(F.sum("weight").alias("n")).where("n > 1").select("phrase", "window")
+        twice = scratch.table(single.groupBy("phrase", "window").agg(F.sum("weight").alias("n")).where("n > 1").select("phrase", "window"))
         late = single.where("weight = 1").join(twice, ["phrase", "window"], "left_semi").select("row", "low", (F.col("low") + window).alias("end"))
         covered = settled.unionByName(late).repartition("row").sortWithinPartitions("row", "low")
         return cut(covered.mapInArrow(_merged, "row long, low array<int>, end array<int>"))
