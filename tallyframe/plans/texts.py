@@ -216,6 +216,26 @@ def unit_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "pos", F.col("b.left").alias("left_"), F.col("b.top").alias("top_"))
 
 
+@query(V.duck("words", "SELECT page_id, pos, text, CAST(floor(c * 100 + 0.5) AS INT) AS confidence, CASE WHEN pos % 11 = 3 THEN 0 ELSE left_ END AS left_, top_, CASE WHEN pos % 7 = 0 THEN 1 WHEN pos % 11 = 3 THEN greatest(1, left_ + width_) ELSE greatest(1, width_) END AS width_, greatest(1, height_) AS height_ FROM (SELECT *, (CASE WHEN pos % 4 = 0 THEN pos % 90 + 10 ELSE (pos % 100) / 100.0::DOUBLE END) / (CASE WHEN pos % 4 = 0 THEN 100.0::DOUBLE ELSE 1.0::DOUBLE END) AS c FROM words)"))
+def line_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with boxes as words: every fourth score is per cent, every seventh box ends where it starts, every eleventh has no left edge."""
+    score = F.when(F.col("pos") % 4 == 0, (F.col("pos") % 90 + 10).cast("double")).otherwise((F.col("pos") % 100) / F.lit(100.0))
+    start = F.when(F.col("pos") % 11 != 3, F.col("left_"))
+    end = F.when(F.col("pos") % 7 == 0, F.coalesce(start, F.lit(0))).otherwise(F.col("left_") + F.col("width_"))
+    box = F.struct(start.alias("x1"), F.col("top_").alias("y1"), end.alias("x2"), (F.col("top_") + F.col("height_")).alias("y2"))
+    rows = V.words(spark, sf_dir).select("page_id", "pos", D.line_word(F.col("text"), score, box).alias("w"))
+    return rows.select("page_id", "pos", "w.text", "w.confidence", *[F.col(f"w.{k}").alias(f"{k}_") for k in ("left", "top", "width", "height")])
+
+
+@query(V.duck("words", "SELECT page_id, pos, CAST(floor(left_ / s + 0.5) AS INT) + 25 AS left_, CAST(floor(top_ / s + 0.5) AS INT) + CAST(page_id % 9 AS INT) AS top_, CAST(floor(width_ / s + 0.5) AS INT) AS width_, CAST(floor(height_ / s + 0.5) AS INT) AS height_ FROM (SELECT *, greatest(1.0::DOUBLE, CAST(pos % 5 AS DOUBLE)) AS s FROM words)"))
+def crop_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of crops enlarged one to four times, on their page; a scale below 1 counts as 1."""
+    word = F.struct(*[F.col(f"{k}_").alias(k) for k in ("left", "top", "width", "height")])
+    origin = F.lit(25), (F.col("page_id") % 9).cast("int")
+    rows = V.words(spark, sf_dir).select("page_id", "pos", D.on_page(word, *origin, (F.col("pos") % 5).cast("double")).alias("w"))
+    return rows.select("page_id", "pos", *[F.col(f"w.{k}").alias(f"{k}_") for k in ("left", "top", "width", "height")])
+
+
 @query(V.duck("records", "SELECT rec_id, CASE WHEN rec_id % 3 = 0 THEN invoice_raw ELSE concat('AB', lpad(CAST(rec_id AS VARCHAR), 8, '0')) END AS invoice_number, CASE WHEN rec_id % 5 = 4 THEN tax_raw WHEN rec_id % 3 = 0 THEN tax_raw ELSE tax_raw END AS tax_id FROM records"))
 def enhance_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Only what is missing is filled from another recogniser's JSON answer."""

@@ -64,6 +64,19 @@ def unit_box(min_x: Column, max_x: Column, max_y: Column, min_y: Column, width:
     return F.struct(pixel(min_x * width, 0).alias("left"), pixel((1.0 - max_y) * height, 0).alias("top"), pixel((max_x - min_x) * width, 1).alias("width"), pixel((max_y - min_y) * height, 1).alias("height"))
 
 
+def line_word(text: Column, score: Column, box: Column) -> Column:
+    """A word of a line with a box {x1, y1, x2, y2}: missing edges are 0, no side is below 1, confidence is per cent."""
+    edge = lambda k: F.coalesce(box[k], F.lit(0)).cast("int")
+    side = lambda far, near: F.greatest(F.lit(1), edge(far) - edge(near))
+    return F.struct(S.text(text).alias("text"), S.round_half_up(S.confidence(score) * 100).cast("int").alias("confidence"), edge("x1").alias("left"), edge("y1").alias("top"), side("x2", "x1").alias("width"), side("y2", "y1").alias("height"))
+
+
+def on_page(word: Column, left: Column, top: Column, scale: Column) -> Column:
+    """A word read in an enlarged crop, on the page: divided by the scale, halves up, and moved by the crop's origin."""
+    share = lambda k: S.round_half_up(word[k] / F.greatest(F.lit(1.0), scale)).cast("int")
+    return F.struct((share("left") + left).alias("left"), (share("top") + top).alias("top"), share("width").alias("width"), share("height").alias("height"))
+
+
 def answer_json(text: Column, schema: str) -> Column:
     """The object between the first and the last brace of a model's answer, null if it is none."""
     return F.from_json(F.regexp_extract(S.text(text), r"(?s)(\{.*\})", 1), schema)
