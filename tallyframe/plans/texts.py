@@ -216,6 +216,19 @@ def unit_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "pos", F.col("b.left").alias("left_"), F.col("b.top").alias("top_"))
 
 
+@query(V.duck("records", "SELECT rec_id, CASE WHEN rec_id % 7 <> 6 THEN concat('AB', CAST(rec_id AS VARCHAR)) END AS invoice_no, CASE WHEN rec_id % 7 = 6 THEN 0.0::DOUBLE ELSE (rec_id % 100) / 100.0::DOUBLE END AS invoice_confidence, CASE WHEN rec_id % 7 <> 6 THEN CAST(rec_id AS VARCHAR) END AS total, CAST(CASE WHEN rec_id % 7 = 6 THEN 0 ELSE 1 END AS INT) AS n_warnings, CASE rec_id % 7 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 0.0::DOUBLE WHEN 3 THEN 4.5::DOUBLE WHEN 5 THEN 0.0::DOUBLE END AS quantity, CASE WHEN rec_id % 7 < 6 THEN CASE WHEN rec_id % 2 = 0 THEN '12' ELSE '9.5' END END AS unit_price, CASE WHEN rec_id % 7 < 6 THEN '' END AS name FROM records"))
+def service_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers whose quantity is a number, null, missing, a string, no number or blank; every seventh is no JSON."""
+    r = F.col("rec_id")
+    quantity = F.element_at(F.array(*map(F.lit, ['"quantity": 3,', '"quantity": null,', "", '"quantity": " 4.5 ",', '"quantity": "4x",', '"quantity": "",', ""])), (r % 7 + 1).cast("int"))
+    price = F.when(r % 2 == 0, F.lit('"unitPrice": null, "unit_price": 12')).otherwise(F.lit('"unitPrice": "9.5", "unit_price": 12'))
+    whole = F.concat(F.lit('{"fields": {"invoiceNo": {"value": "AB'), r, F.lit('", "confidence": '), ((r % 100) / 100.0).cast("string"), F.lit('}, "items": [{'), quantity, price, F.lit('}], "total": '), r, F.lit('}, "warnings": ["w"]}'))
+    answer = F.when(r % 7 == 6, F.substring(whole, 1, 20)).otherwise(whole)
+    rows = V.records(spark, sf_dir).select("rec_id", D.service_candidate(answer).alias("c"))
+    first = F.get("c.items", F.lit(0))
+    return rows.select("rec_id", "c.invoice_no", "c.invoice_confidence", "c.total", F.size("c.warnings").alias("n_warnings"), first["quantity"].alias("quantity"), first["unit_price"].alias("unit_price"), first["name"].alias("name"))
+
+
 @query(V.duck("words", "SELECT page_id, pos, text, CAST(floor(c * 100 + 0.5) AS INT) AS confidence, CASE WHEN pos % 11 = 3 THEN 0 ELSE left_ END AS left_, top_, CASE WHEN pos % 7 = 0 THEN 1 WHEN pos % 11 = 3 THEN greatest(1, left_ + width_) ELSE greatest(1, width_) END AS width_, greatest(1, height_) AS height_ FROM (SELECT *, (CASE WHEN pos % 4 = 0 THEN pos % 90 + 10 ELSE (pos % 100) / 100.0::DOUBLE END) / (CASE WHEN pos % 4 = 0 THEN 100.0::DOUBLE ELSE 1.0::DOUBLE END) AS c FROM words)"))
 def line_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines with boxes as words: every fourth score is per cent, every seventh box ends where it starts, every eleventh has no left edge."""

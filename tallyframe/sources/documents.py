@@ -77,6 +77,33 @@ def on_page(word: Column, left: Column, top: Column, scale: Column) -> Column:
     return F.struct((share("left") + left).alias("left"), (share("top") + top).alias("top"), share("width").alias("width"), share("height").alias("height"))
 
 
+def _number(v: Column) -> Column:
+    """A JSON value as a finite number: null, false and blank strings are 0; what is missing or no number is null."""
+    said, flag = F.trim(F.try_variant_get(v, "$", "string")), F.schema_of_variant(v) == "BOOLEAN"
+    value = F.when(F.is_variant_null(v) | (said == "") | (flag & (said == "false")), F.lit(0.0)).when(flag, F.lit(1.0)).when(said.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), said.try_cast("double"))
+    return F.when(F.abs(value) < float("inf"), value)
+
+
+def service_candidate(answer: Column) -> Column:
+    """A recognition service's JSON answer as a candidate; one that is no JSON gives nulls, confidences of 0 and no items.
+    A null quantity or amount is 0, a missing one null; a unit price has two names."""
+    said = F.try_parse_json(answer)
+    part = lambda v, path, kind="string": F.try_variant_get(v, path, kind)
+    score = lambda v, path: S.confidence(_number(part(v, path, "variant")))
+    item = lambda v: F.struct(
+        _number(part(v, "$.quantity", "variant")).alias("quantity"), F.coalesce(part(v, "$.unitPrice"), part(v, "$.unit_price")).alias("unit_price"),
+        _number(part(v, "$.amount", "variant")).alias("amount"), F.coalesce(part(v, "$.name"), F.lit("")).alias("name"), score(v, "$.confidence").alias("confidence"),
+    )
+    listed = lambda path, f, kind: F.coalesce(F.transform(part(said, path, "array<variant>"), f), F.array().cast(kind))
+    return F.struct(
+        part(said, "$.fields.invoiceNo.value").alias("invoice_no"), score(said, "$.fields.invoiceNo.confidence").alias("invoice_confidence"),
+        part(said, "$.fields.buyerTaxId.value").alias("tax_id"), score(said, "$.fields.buyerTaxId.confidence").alias("tax_confidence"),
+        listed("$.fields.items", item, "array<struct<quantity:double,unit_price:string,amount:double,name:string,confidence:double>>").alias("items"),
+        part(said, "$.fields.subtotal").alias("subtotal"), part(said, "$.fields.tax").alias("tax"), part(said, "$.fields.total").alias("total"),
+        listed("$.warnings", lambda w: F.coalesce(part(w, "$"), F.lit("null")), "array<string>").alias("warnings"),
+    )
+
+
 def answer_json(text: Column, schema: str) -> Column:
     """The object between the first and the last brace of a model's answer, null if it is none."""
     return F.from_json(F.regexp_extract(S.text(text), r"(?s)(\{.*\})", 1), schema)

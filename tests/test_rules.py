@@ -105,3 +105,15 @@ def test_overlay_and_edits(spark):
 def test_modes(spark):
     modes = {m: (one(spark, S.effective_mode(F.lit(m))), one(spark, S.default_mode(F.lit(m)))) for m in ("Hybrid", "paddle_ocr", "", "nope")}
     assert modes == {"Hybrid": ("hybrid", "hybrid"), "paddle_ocr": ("local", "paddleocr"), "": ("local", "local"), "nope": ("local", "local")}
+
+
+def test_service_numbers(spark):
+    from tallyframe.sources import documents
+
+    said = {"3": 3.0, "null": 0.0, "true": 1.0, "false": 0.0, '"true"': None, '" 4e1 "': 40.0, '""': 0.0, '"4x"': None, '"Infinity"': None, '"1d"': None, "{}": None}
+    rows = spark.createDataFrame([(k, f'{{"fields": {{"items": [{{"quantity": {k}}}]}}}}') for k in said], "k string, answer string")
+    found = {r["k"]: r["c"]["items"][0]["quantity"] for r in rows.select("k", documents.service_candidate(rows["answer"]).alias("c")).collect()}
+    assert found == said
+    for text in ("", "no", "[1]", '{"fields": {"items": 4}}', None):
+        c = spark.createDataFrame([(text,)], "answer string").select(documents.service_candidate(F.col("answer")).alias("c")).first()["c"]
+        assert c["items"] == [] and c["warnings"] == [] and c["invoice_no"] is None and c["invoice_confidence"] == 0.0
