@@ -16,6 +16,8 @@ SOURCES = ("paddleocr", "hybrid", "ollama", "easyocr", "tesseract", "macos_visio
 SOURCE_LABELS = {"paddleocr": "PaddleOCR", "easyocr": "EasyOCR", "tesseract": "Tesseract", "macos_vision": "macOS Vision", "google_vision": "Google Vision", "openai_vision": "OpenAI Vision"}
 MODES = ("local", "tesseract", "paddleocr", "google-vision", "openai-vision", "hybrid", "manual")
 MODE_ALIASES = {"paddle_ocr": "paddleocr", "google_vision": "google-vision", "openai_vision": "openai-vision"}
+#: Letters whose capital is several letters, some of A-Z among them.
+SEVERAL = "ßŉǰẖẗẘẙẚﬀﬁﬂﬃﬄﬅﬆ"
 
 
 def text(c: Column) -> Column:
@@ -32,6 +34,11 @@ def invoice_code(c: Column) -> Column:
     return F.regexp_replace(F.upper(text(c)), "[^A-Z0-9]", "")
 
 
+def capitals(c: Column) -> Column:
+    """Upper case letter by letter, to look for A-Z in: ß or a ligature is no two letters."""
+    return F.upper(F.translate(text(c), SEVERAL, "ẞ" * len(SEVERAL)))
+
+
 def matches(c: Column, pattern: str) -> Column:
     r"""Whole-text match; \z rather than $, which also stands before a last newline."""
     return F.coalesce(c.rlike(rf"\A(?:{pattern})\z"), F.lit(False))
