@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.llm import exact_dedup, langid, near_copies, packing, substring_dedup
-from tallyframe.llm._common import Scratch, body, cut, held, small_batches, table
+from tallyframe.llm._common import KeySet, Scratch, among, body, cut, held, small_batches, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,9 +50,11 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "key_")
     member = cut(group.join(rows.select("key_", "doc_id"), F.col("node") == F.col("key_")).select("label", "key_", order.alias("order_")))
     stay = cut(member.groupBy("label").agg(F.min("order_").getField("key_").alias("stay_")))
-    gone = member.join(stay, "label").where("key_ <> stay_").select("key_").distinct()
-    whole = docs.select(key.alias("key_"), F.struct("*").alias("row_"))
-    return whole.join(gone, "key_", "left_anti").select("row_.*")
+    gone = cut(member.join(stay, "label").where("key_ <> stay_").select("key_").distinct())
+    # Rows whose key can't be one that goes need no join, so their texts are not shuffled.
+    whole = docs.select(key.alias("key_"), F.struct("*").alias("row_")).withColumn("maybe_", among(F.col("key_"), KeySet.of(gone, "key_"), spark))
+    left = whole.where("maybe_").join(gone, "key_", "left_anti")
+    return whole.where("not maybe_").select("row_.*").unionByName(left.select("row_.*"))
 
 
 def _rest(text: bytes, words: list[bytes], kept: list[bytes]) -> tuple[str]:

@@ -81,20 +81,33 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.path, self.count = spark, f"{checkpoint_dir(spark)}/scratch-{uuid.uuid4().hex}", 0
+        self.places: dict[DataFrame, str] = {}
 
     def __enter__(self) -> Scratch:
         return self
 
     def __exit__(self, *_) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        self._delete(self.path)
+
+    def _delete(self, place: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(place)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that nothing reads any more, and the files of shuffles that are done:
+        Spark deletes those only once the driver's garbage is collected."""
+        for table in tables:
+            self._delete(self.places.pop(table))
+        self.spark._jvm.System.gc()
+
     def table(self, df: DataFrame) -> DataFrame:
         """df, written and read again."""
         self.count += 1
         path = f"{self.path}/{self.count}"
         df.write.option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        found = self.spark.read.schema(df.schema).parquet(path)
+        self.places[found] = path
+        return found
 
 
 class KeySet:
@@ -171,3 +184,14 @@ def only(rows: DataFrame, known: KeySet) -> DataFrame:
             yield batch.filter(pa.array(shared.value.has(batch.column(0).to_numpy(zero_copy_only=False))))
 
     return rows.mapInArrow(run, rows.schema)
+
+
+def among(keys: Column, known: KeySet, spark: SparkSession) -> Column:
+    """Whether keys, longs, are in known. Only the keys go to Python, whatever else a row holds."""
+    shared = spark.sparkContext.broadcast(known)
+
+    @F.arrow_udf("boolean")
+    def has(keys: pa.Array) -> pa.Array:
+        return pa.array(shared.value.has(keys.to_numpy(zero_copy_only=False)))
+
+    return has(keys)
