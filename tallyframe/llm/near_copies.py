@@ -1,7 +1,10 @@
-"""Near copies by exact Jaccard similarity of five-word shingles, found by prefix filtering.
+"""Near copies by SimHash and by exact Jaccard similarity of five-word shingles.
 
 Two texts are near copies if the sets of their shingles have a similarity of 4/5
-or more. Shingles are put in one order for all texts; a set of n then shares one of
+or more. SimHash comes first: fingerprints of the shingles that differ in few bits, found
+by the generalised pigeonhole principle, link texts, and links that the texts bear
+out give a first label to each. Near copies may differ in more bits than such a search
+reaches, so prefix filtering finds those that are left between different labels. Shingles are put in one order for all texts; a set of n then shares one of
 its first n - ceil(4n/5) + 1 with each near copy, whatever the order is, so no pair
 is lost. Shingles that are common in a sample stand last, which keeps the buckets
 of equal shingles small.
@@ -31,6 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import simhash
 from ._common import KeySet, Scratch, body, cut, only, slices, tidy
 from .graph import components
 
@@ -166,10 +170,26 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             good = [near(seen[x], seen[y]) for x, y in zip(one, other, strict=True)]
             yield batch.select(names).filter(pa.array(good, pa.bool_()))
 
+    # Only the texts of pairs are shuffled.
+    texts = only(texts.select("doc_id", "body"), KeySet.of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id"))
     named = lambda ident, text: texts.select(F.col("doc_id").alias(ident), F.col("body").alias(text))
     return pairs.join(named("a", "one"), "a").join(named("b", "other"), "b").select(*names, "one", "other").mapInArrow(run, pairs.schema).distinct()
 
 
+def simhash_links(docs: DataFrame, texts: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
+    """(a, b), a < b: links between near copies whose fingerprints differ in few bits. Of the texts
+    of one fingerprint, each is linked with the first; those of different ones by their first texts."""
+    prints = scratch.table(simhash.fingerprints(docs.where(F.col(id_col).isNotNull()), id_col, text_col, SHINGLE))
+    classes = scratch.table(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    first = lambda end: classes.select(F.col("fp").alias(end), F.col("first").alias(f"{end}_first"))
+    same = prints.join(classes, "fp").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
+    other = simhash.hamming_links(classes.select("fp")).join(first("a"), "a").join(first("b"), "b").select(F.least("a_first", "b_first").alias("a"), F.greatest("a_first", "b_first").alias("b"))
+    pairs = scratch.table(same.unionByName(other).where("a < b").distinct())
+    found = scratch.table(_verified(pairs, texts))
+    scratch.drop(prints, classes, pairs)
+    return found
+
+
 def _stars(own: DataFrame, seed: int, scratch: Scratch) -> DataFrame:
     """(a, b, mine, its): each text of a bucket of own(key, size, at, id, label) with one drawn for the bucket, where their labels differ."""
     hubs = own.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.min_by(F.struct("id", "size", "at", "label"), F.xxhash64("id", F.lit(seed))).alias("hub"))
@@ -192,11 +212,12 @@ def _merged(own: DataFrame, found: DataFrame, seed: int, scratch: Scratch) -> Da
 def _across(entries: DataFrame, marks: DataFrame, labels: DataFrame, block: int, scratch: Scratch) -> DataFrame:
     """(a, b), a < b: ids of entries that share a key and have different labels, as far as they may be near copies."""
     order = Window.partitionBy("id").orderBy("at")
-    own = entries.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")).join(marks, "id")
-    own = scratch.table(own.select("*", *[F.coalesce(F.lag("key", k).over(order), F.lit(0)).alias(f"before{k}") for k in range(1, EARLIER + 1)]))
+    own = scratch.table(entries.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")))
     open_keys = scratch.table(own.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("key", F.when(F.col("n") > block, F.ceil(F.col("n") / block)).otherwise(1).cast("int").alias("cuts")))
+    # Earlier keys are open ones too: two texts of different labels leave none closed that they share.
+    own = own.join(open_keys, "key").select("*", *[F.coalesce(F.lag("key", k).over(order), F.lit(0)).alias(f"before{k}") for k in range(1, EARLIER + 1)]).join(marks, "id")
     side = F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int")
-    dealt = own.join(open_keys, "key").withColumn("own", side).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    dealt = own.withColumn("own", side).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
     # other: 0 within a block, else 1 or 2, so that a pair of blocks makes the pairs between them alone.
     other = F.when(F.col("own") == F.col("with"), 0).when(F.col("own") < F.col("with"), 1).otherwise(2).cast("long")
     dealt = dealt.select(F.xxhash64("key", F.least("own", "with"), F.greatest("own", "with")).alias("bucket"), "size", "at", "id", "label", other.alias("other"), "bits", *[f"before{k}" for k in range(1, EARLIER + 1)])
@@ -234,22 +255,31 @@ def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(a, b), a < b: links between the ids of near copies, enough of them that all near copies are connected."""
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), body(text_col).alias("body"))
     with Scratch(docs.sparkSession) as scratch:
+        scratch.drop()
+        alike = simhash_links(docs, texts, id_col, text_col, scratch)
+        first = components(alike).select(F.col("node").alias("id"), "label")
         all_rows = scratch.table(prefixes(texts))
-        entries, marks = all_rows.where("at >= 0").select("key", "size", "at", "id"), all_rows.where("at < 0").select("id", "bits")
+        entries, marks = all_rows.where("at >= 0").select("key", "size", "at", "id"), scratch.table(all_rows.where("at < 0").select("id", "bits"))
         # Most shingles stand in one text only; those are left out before anything else is shuffled.
         twice = scratch.table(entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
         entries = scratch.table(only(entries, KeySet.of(twice, "key")))
+        scratch.drop(all_rows, twice)
         large = scratch.table(entries.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= star).select("key"))
-        own = scratch.table(entries.join(large, "key").withColumn("label", F.col("id")))
-        sure = []
+        own = scratch.table(entries.join(large, "key").join(first, "id", "left").select("key", "size", "at", "id", F.coalesce("label", "id").alias("label")))
+        sure = [alike]
         for seed in range(ROUNDS):
-            found = scratch.table(_verified(_stars(own, seed, scratch), texts))
+            stars = _stars(own, seed, scratch)
+            found = scratch.table(_verified(stars, texts))
             if not found.count():
                 break
             sure.append(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-            own = scratch.table(_merged(own, found, seed, scratch))
-        labels = own.where("id <> label").select("id", "label").distinct()
+            before, own = own, scratch.table(_merged(own, found, seed, scratch))
+            scratch.drop(before, stars)
+        now = own.select("id", F.col("label").alias("now")).distinct()
+        labels = scratch.table(now.join(first, "id", "full").select("id", F.coalesce("now", "label").alias("label")).where("id <> label"))
+        scratch.drop(own)
         pairs = scratch.table(_across(entries, marks, labels, block, scratch))
+        scratch.drop(entries, marks, labels)
         return cut(reduce(DataFrame.unionByName, sure, _verified(pairs, texts)))
 
 

@@ -77,3 +77,42 @@ def test_stage_against_brute_force(spark, small):
     kept = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.near_stage(spark, df, small).collect())
     alone = len(texts[0].split()) < 30
     assert kept == Counter([*((i, texts[i]) for i in texts if first[i] == i), (0, other), *([(None, texts[0] + " x")] if alone else [])])
+
+
+def test_simhash_links_copies_before_prefixes_do(spark, monkeypatch):
+    """With prefix filtering off, what is left is the links by fingerprints that the texts bear out."""
+    chance = random.Random(6)
+    words = [f"w{i}" for i in range(900)]
+    texts = {}
+    for group in range(12):
+        base = chance.choices(words, k=400)
+        for at in (None, 0, 399):
+            texts[len(texts)] = " ".join(w if k != at else f"own{group}" for k, w in enumerate(base))
+    df = spark.createDataFrame([*texts.items(), (998, " "), (999, None)], "doc_id long, text string")
+    whole = first_of(texts, {tuple(r) for r in near_copies.near_links(df).collect()})
+    monkeypatch.setattr(near_copies, "_across", lambda *_: spark.createDataFrame([], "a long, b long"))
+    found = {tuple(r) for r in near_copies.near_links(df, star=10**9).collect()}
+    assert found and found <= links(texts)
+    assert sum(first_of(texts, found)[i] != i for i in texts) >= 12
+    assert whole == first_of(texts, links(texts))
+
+
+def test_only_texts_of_pairs_are_shuffled(spark, monkeypatch):
+    """And tables that nothing reads any more are gone before the last ones are made."""
+    chance = random.Random(9)
+    texts = {i: " ".join(f"{chance.randrange(10**9)}" for _ in range(60)) for i in range(300)}
+    texts[300] = texts[7] + " more"
+    df = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    passed, only = [], near_copies.only
+
+    def watched(rows, known):
+        kept = only(rows, known)
+        if rows.columns == ["doc_id", "body"]:
+            passed.append(kept.count())
+        return kept
+
+    held, across = [], near_copies._across
+    monkeypatch.setattr(near_copies, "only", watched)
+    monkeypatch.setattr(near_copies, "_across", lambda *a: held.append(len(a[-1].places)) or across(*a))
+    assert {tuple(r) for r in near_copies.near_links(df).collect()} == {(7, 300)}
+    assert passed and max(passed) <= 10 and held[0] <= 8
