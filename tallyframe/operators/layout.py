@@ -37,7 +37,8 @@ def first(found: Column) -> Column:
 def ordered(found: Column, *keys) -> Column:
     """An array sorted by functions of its elements, ties in the order they stand in."""
     keyed = F.transform(found, lambda x, i: F.struct(*[k(x).alias(f"k{n}") for n, k in enumerate(keys)], i.alias("i"), x.alias("x")))
-    return F.transform(F.array_sort(keyed), lambda s: s["x"])
+    # sort_array, as array_sort calls an interpreted function for each comparison.
+    return F.transform(F.sort_array(keyed), lambda s: s["x"])
 
 
 def by_place(found: Column) -> Column:
@@ -84,10 +85,8 @@ def number_words(found: Column) -> Column:
     slashed = r"([0-9])/,([0-9]{3})"
 
     def mend(x: Column) -> Column:
-        plain = S.money_text(x["text"])
-        hit = plain.rlike(slashed)
-        numeric = F.when(hit, F.concat(F.regexp_extract(plain, slashed, 1), F.lit("12"), F.substring(F.regexp_extract(plain, slashed, 2), 2, 2))).otherwise(S.digits(plain))
-        return x.withField("numeric", numeric).withField("value", numeric.try_cast("double"))
+        numeric = lambda plain: F.when(plain.rlike(slashed), F.concat(F.regexp_extract(plain, slashed, 1), F.lit("12"), F.substring(F.regexp_extract(plain, slashed, 2), 2, 2))).otherwise(S.digits(plain))
+        return let(let(S.money_text(x["text"]), numeric), lambda n: x.withField("numeric", n).withField("value", n.try_cast("double")))
 
     return F.filter(F.transform(maybe, mend), lambda x: x["numeric"] != "")
 
@@ -103,9 +102,10 @@ def distance(a: Column, b: Column) -> Column:
     return F.hypot(a["cx"] - b["cx"], a["cy"] - b["cy"])
 
 
-def nearest_number(anchor: Column, found: Column, fits) -> Column:
-    """The number right of or below the anchor that is nearest to it and fits."""
-    good = lambda a: F.filter(number_words(found), lambda x: fits(x) & right_or_below(a, x))
+def nearest_number(anchor: Column, found: Column, fits, numbers: Column | None = None) -> Column:
+    """The number right of or below the anchor that is nearest to it and fits.
+    numbers: number_words(found), if they are at hand; so below."""
+    good = lambda a: F.filter(number_words(found) if numbers is None else numbers, lambda x: fits(x) & right_or_below(a, x))
     return let(anchor, lambda a: F.when(a.isNotNull(), first(ordered(good(a), lambda x: distance(a, x)))))
 
 

@@ -125,3 +125,8 @@ def test_edits_as_a_stream(spark, small, tmp_path):
     want = sorted(map(tuple, edits.last_values(log, ("quantity", "status")).collect()))
     assert sorted(map(tuple, spark.table("last_values").collect())) == want
     assert edits.windowed_counts(log).agg(F.sum("n")).first()[0] == log.count()
+
+
+def test_anchored_fields_mend_numbers_once(spark):
+    plan = extract.anchored(page(spark, [("1/,234", 0, 0, 10, 90)]))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("translate(") == 1
