@@ -1,6 +1,11 @@
 """Cases in which an operator once did less than its whole job."""
 
+import math
+import zlib
+from collections import Counter
+
 import numpy as np
+from pyspark.sql import functions as F
 
 from tallyframe.llm import html_extract, ngram_lm, packing
 
@@ -16,6 +21,34 @@ def test_quanta_of_very_large_counts():
     assert (low <= counts).all() and (counts < low * ngram_lm.BASE + 1).all()
 
 
+def test_no_ngram_is_left_out_of_scores(spark, documents, monkeypatch):
+    """Scores are those of exact counts, rounded to their quanta: also where no n-gram repeats, so that
+    there are twice as many as tokens, and with groups and segments of any number."""
+    edges = [0.0, *ngram_lm.EDGES]
+    low = lambda n: edges[int(ngram_lm.quanta(np.array([n]))[0])]
+    high = lambda n: edges[int(ngram_lm.quanta(np.array([n]))[0]) + 1] - 1 if n else 0
+    once = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(i % 40))) for i in range(300)], "doc_id long, text string")
+    for docs, group, fewest in ((once, None, None), (documents, None, None), (documents, 3000, 1)):
+        if group:
+            monkeypatch.setattr(ngram_lm, "GROUP", group)
+            monkeypatch.setattr(ngram_lm, "FEWEST", fewest)
+        rows = {r["doc_id"]: [*(r["text"] or "").encode().lower().split(), 1] for r in docs.collect()}
+        one, two = Counter(), Counter()
+        for ident, tokens in rows.items():
+            if zlib.crc32(str(ident).encode()) % 10:
+                one.update([0, *tokens])
+                two.update(zip([0, *tokens], tokens, strict=False))
+        n = sum(one.values()) - one[0]
+        total = n + 0.1 * len(one)
+        for r in ngram_lm.lm_scores(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0).collect():
+            tokens, want = rows[r["doc_id"]], 0.0
+            for h, w in zip([0, *tokens], tokens, strict=False):
+                alone = (low(one[w]) + 0.1) / total
+                pair = min(low(two[h, w]), low(one[w]), high(one[h]))
+                want += math.log10(0.4 * pair / high(one[h]) + 0.6 * alone if one[h] else alone)
+            assert math.isclose(r["score"], want, rel_tol=1e-9)
+
+
 def test_copies_of_a_page_keep_their_text(spark):
     shared = "<div>Menu</div>"
     text = lambda t: f"{shared}<div class=content>{t}</div>"
