@@ -11,7 +11,7 @@ of equal shingles small.
 
 A large group of copies would make pairs by the square of its size, though a few
 links tell it whole. So each text of a bucket of STAR texts or more is first held
-against one of them only, another one in each of ROUNDS rounds; texts so linked share
+against one of them only, in up to ROUNDS rounds, until few pairs are left; texts so linked share
 a label, and then only pairs of different labels are made. Those pass on size, on place, and on parities of
 the two sets, which bound their difference from below; so no near copy is lost by
 them. What is left is verified on the texts. A bucket above BLOCK texts is dealt out as pairs of blocks, so that no
@@ -47,8 +47,10 @@ PAIRS = 1 << 20
 EARLIER = 3
 #: Bits that stand for a text's whole set when pairs are looked at.
 BITS = 512
-#: Texts of a bucket from which they are held against one of them first, how often, and above which a bucket is dealt out.
-STAR, ROUNDS, BLOCK = 8, 3, 4096
+#: Texts of a bucket from which they are held against one of them first, how often at most, and above which a bucket is dealt out.
+STAR, ROUNDS, BLOCK = 8, 6, 4096
+#: Pairs left for each entry of a bucket below which no more rounds are made.
+LEFT = 4
 
 
 def shingles(text: bytes) -> np.ndarray:
@@ -191,24 +193,37 @@ def simhash_links(docs: DataFrame, texts: DataFrame, id_col: str, text_col: str,
 
 
 def _stars(own: DataFrame, seed: int, scratch: Scratch) -> DataFrame:
-    """(a, b, mine, its): each text of a bucket of own(key, size, at, id, label) with one drawn for the bucket, where their labels differ."""
-    hubs = own.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.min_by(F.struct("id", "size", "at", "label"), F.xxhash64("id", F.lit(seed))).alias("hub"))
+    """(a, b, mine, its): each text of a bucket of own(key, size, at, id, label) with one of the bucket, where their
+    labels differ. That one has the bucket's key earliest in every other round, as a text has shingles that are
+    its own before it; so it is near the middle of the group. In the rounds between it is drawn from all."""
+    order = F.struct("at", F.xxhash64("id", F.lit(seed))) if seed % 2 == 0 else F.xxhash64("id", F.lit(seed))
+    hubs = own.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.min_by(F.struct("id", "size", "at", "label"), order).alias("hub"))
     pairs = own.join(scratch.table(hubs.where("least < most").select("key", "hub")), "key").where((F.col("label") != F.col("hub.label")) & _may_be_near(F.col("size"), F.col("at"), F.col("hub.size"), F.col("hub.at")))
     return scratch.table(pairs.select(F.col("id").alias("a"), F.col("hub.id").alias("b"), F.col("label").alias("mine"), F.col("hub.label").alias("its")).distinct())
 
 
 def _merged(own: DataFrame, found: DataFrame, seed: int, scratch: Scratch) -> DataFrame:
-    """own with new labels: of two labels that a link joins, the one that comes later in the order
-    the stars are drawn by gives way to the first it is linked to, and to where that one goes. Texts
-    of one label stay connected; texts that are connected need not share a label yet."""
-    rank = lambda c: F.struct(F.xxhash64(c, F.lit(seed)), F.col(c))
-    ends = F.when(rank("mine") < rank("its"), F.struct(F.col("its").alias("old"), F.col("mine").alias("new"))).otherwise(F.struct(F.col("mine").alias("old"), F.col("its").alias("new")))
-    moved = scratch.table(found.select(ends.alias("ends")).select("ends.*").groupBy("old").agg(F.min_by("new", rank("new")).alias("new")))
+    """own with new labels: a label gives way to the one with the most links of those it is linked to,
+    if that has more links than itself, and to where that one goes. So all that is linked to one text
+    shares its label. Texts of one label stay connected; texts that are connected need not share a label yet."""
+    ends = found.select("mine", "its").unionByName(found.select(F.col("its").alias("mine"), F.col("mine").alias("its")))
+    ranks = scratch.table(ends.groupBy("mine").agg(F.count("*").alias("n")).select(F.col("mine").alias("label"), F.struct("n", F.xxhash64("mine", F.lit(seed)), "mine").alias("rank")))
+    of = lambda end: ranks.select(F.col("label").alias(end), F.col("rank").alias(f"{end}_rank"))
+    best = ends.distinct().join(of("its"), "its").groupBy("mine").agg(F.max("its_rank").alias("top"), F.max_by("its", "its_rank").alias("new"))
+    moved = scratch.table(best.join(of("mine"), "mine").where("top > mine_rank").select(F.col("mine").alias("old"), "new"))
     onward = moved.select(F.col("old").alias("new"), F.col("new").alias("further"))
     moved = scratch.table(moved.join(onward, "new", "left").select("old", F.coalesce("further", "new").alias("new")))
     return own.join(moved, F.col("label") == F.col("old"), "left").select("key", "size", "at", "id", F.coalesce("new", "label").alias("label"))
 
 
+def _few_left(own: DataFrame) -> bool:
+    """Whether pairs of different labels in the buckets of own are at most LEFT for each of its rows."""
+    each = own.groupBy("key", "label").agg(F.count("*").cast("double").alias("n"))
+    left = each.groupBy("key").agg(F.sum("n").alias("rows"), ((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs"))
+    rows, pairs = left.agg(F.sum("rows"), F.sum("pairs")).first()
+    return (pairs or 0.0) <= LEFT * (rows or 0.0)
+
+
 def _across(entries: DataFrame, marks: DataFrame, labels: DataFrame, block: int, scratch: Scratch) -> DataFrame:
     """(a, b), a < b: ids of entries that share a key and have different labels, as far as they may be near copies."""
     order = Window.partitionBy("id").orderBy("at")
@@ -275,6 +290,8 @@ def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             sure.append(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
             before, own = own, scratch.table(_merged(own, found, seed, scratch))
             scratch.drop(before, stars)
+            if _few_left(own):
+                break
         now = own.select("id", F.col("label").alias("now")).distinct()
         labels = scratch.table(now.join(first, "id", "full").select("id", F.coalesce("now", "label").alias("label")).where("id <> label"))
         scratch.drop(own)

@@ -68,6 +68,23 @@ def test_a_large_group_makes_no_pairs_by_its_square(spark, monkeypatch):
     assert first_of(texts, {tuple(r) for r in found.collect()}) == dict.fromkeys(texts, 0)
 
 
+def test_copies_that_are_near_to_few_make_no_pairs_by_their_square(spark, monkeypatch):
+    """Texts with many changes are near to those with few alone, so a text drawn from all links too few of them."""
+    chance = random.Random(12)
+    base, texts = [f"w{i}" for i in range(150)], {}
+    for i in range(480):
+        copy = list(base)
+        for k in range(min(3, i % 5)):
+            copy[chance.randrange(48 * k, 48 * k + 40)] = f"own{i}x{k}"
+        texts[i] = " ".join(copy)
+    df = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    made, across = [], near_copies._across
+    monkeypatch.setattr(near_copies, "_across", lambda *a: made.append(across(*a).count()) or across(*a))
+    found = {tuple(r) for r in near_copies.near_links(df).collect()}
+    assert made[0] < 2 * len(texts) and len(found) < 10 * len(texts)
+    assert first_of(texts, found) == first_of(texts, links(texts))
+
+
 def test_stage_against_brute_force(spark, small):
     texts = drawn()
     first = first_of(texts, links(texts))
