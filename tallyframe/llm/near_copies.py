@@ -11,7 +11,7 @@ of equal shingles small.
 
 A large group of copies would make pairs by the square of its size, though a few
 links tell it whole. So each text of a bucket of STAR texts or more is first held
-against one of them only, in up to ROUNDS rounds, until few pairs are left; texts so linked share
+against one of them only, in each of ROUNDS rounds; texts so linked share
 a label, and then only pairs of different labels are made. Those pass on size, on place, and on parities of
 the two sets, which bound their difference from below; so no near copy is lost by
 them. What is left is verified on the texts. A bucket above BLOCK texts is dealt out as pairs of blocks, so that no
@@ -47,10 +47,8 @@ PAIRS = 1 << 20
 EARLIER = 3
 #: Bits that stand for a text's whole set when pairs are looked at.
 BITS = 512
-#: Texts of a bucket from which they are held against one of them first, how often at most, and above which a bucket is dealt out.
-STAR, ROUNDS, BLOCK = 8, 6, 4096
-#: Pairs left for each entry of a bucket below which no more rounds are made.
-LEFT = 4
+#: Texts of a bucket from which they are held against one of them first, how often, and above which a bucket is dealt out.
+STAR, ROUNDS, BLOCK = 8, 3, 4096
 
 
 def shingles(text: bytes) -> np.ndarray:
@@ -216,14 +214,6 @@ def _merged(own: DataFrame, found: DataFrame, seed: int, scratch: Scratch) -> Da
     return own.join(moved, F.col("label") == F.col("old"), "left").select("key", "size", "at", "id", F.coalesce("new", "label").alias("label"))
 
 
-def _few_left(own: DataFrame) -> bool:
-    """Whether pairs of different labels in the buckets of own are at most LEFT for each of its rows."""
-    each = own.groupBy("key", "label").agg(F.count("*").cast("double").alias("n"))
-    left = each.groupBy("key").agg(F.sum("n").alias("rows"), ((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs"))
-    rows, pairs = left.agg(F.sum("rows"), F.sum("pairs")).first()
-    return (pairs or 0.0) <= LEFT * (rows or 0.0)
-
-
 def _across(entries: DataFrame, marks: DataFrame, labels: DataFrame, block: int, scratch: Scratch) -> DataFrame:
     """(a, b), a < b: ids of entries that share a key and have different labels, as far as they may be near copies."""
     order = Window.partitionBy("id").orderBy("at")
@@ -290,8 +280,6 @@ def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             sure.append(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
             before, own = own, scratch.table(_merged(own, found, seed, scratch))
             scratch.drop(before, stars)
-            if _few_left(own):
-                break
         now = own.select("id", F.col("label").alias("now")).distinct()
         labels = scratch.table(now.join(first, "id", "full").select("id", F.coalesce("now", "label").alias("label")).where("id <> label"))
         scratch.drop(own)
