@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import body, cut, table, tidy
+from ._common import body, cut, release, table, tidy
 
 CAPACITY, END = 4096, 1
 #: Items of a shard, islands of a shard, epochs between which elites migrate, individuals, generations an epoch.
@@ -44,8 +44,9 @@ SHARD, ISLANDS, EPOCHS, PEOPLE, GENERATIONS = 2000, 2, 2, 4, 6
 WIDE = 16
 #: A bin with more than this share free is dissolved and packed again at the next level.
 LOOSE = 0.01
-#: Most words a worker keeps the ids of, most parts of words, and bytes of text tokenized at a time.
-WORDS, PARTS, BYTES = 1_000_000, 700_000, 4 << 20
+#: Most words a worker keeps the ids of, most parts of words, and bytes of text tokenized at a time. Words
+#: and parts beyond are looked up anew: each executor's workers share what its JVM leaves them.
+WORDS, PARTS, BYTES = 150_000, 100_000, 1 << 20
 _SHIFT = 1 << 24
 _MARKED = re.compile(rb"[A-Z][\x80-\xff]")
 # How the tokenizer's own pattern splits words of Latin letters, digits and ASCII marks.
@@ -95,6 +96,8 @@ class Words:
             self.merges = Tokenizer.from_str(json.dumps(own))
             self.ends = np.zeros(max(own["model"]["vocab"].values()) + 1, bool)
             self.ends[[i for t, i in own["model"]["vocab"].items() if t.endswith(end)]] = True
+        del own, split
+        release()
         self.clear()
 
     def clear(self) -> None:
@@ -125,7 +128,7 @@ class Words:
         number[number < 0] = base + np.where(order, np.cumsum(order) - 1, len(simple) + np.cumsum(~order) - 1)
         return number
 
-    def _merged(self, words: list[str], at_once: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+    def _merged(self, words: list[str], at_once: int = 4_000) -> tuple[np.ndarray, np.ndarray]:
         """The ids of plain words one after the other, and how many each has."""
         if len(self.parts) > PARTS:
             self.parts = dict(islice(self.parts.items(), PARTS // 2))
@@ -175,6 +178,27 @@ def token_bytes(texts: list[bytes], path: str) -> list[bytes]:
     return [(whole[i] if i in whole else ids[a:b]).tobytes() for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
 
 
+def _pieces(batch: pa.RecordBatch, tokenizer: str, capacity: int, tail: bytes) -> Iterator[pa.RecordBatch]:
+    """The pieces of a batch of ids and texts, about BYTES of text at a time."""
+    size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, at = np.cumsum(size), 0
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BYTES, side="right")))
+        ids, texts = (batch.column(k).slice(at, stop - at).to_pylist() for k in (0, 1))
+        out = []
+        for doc, tokens in zip(ids, token_bytes(texts, tokenizer), strict=True):
+            tokens += tail
+            for piece, start in enumerate(range(0, len(tokens), 4 * capacity)):
+                part = tokens[start : start + 4 * capacity]
+                out.append((doc, piece, start // 4, len(part) // 4, zlib.crc32(part)))
+        columns = zip(*out, strict=True)
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        at = stop
+        del ids, texts, out, columns
+        release()
+
+
 def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end: int = END, keep_words: bool = True) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): each document's ids and the end id, cut at
     capacity. keep_words: a worker keeps the words it has seen for its next task."""
@@ -183,21 +207,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            ends, at = np.cumsum(size), 0
-            while at < batch.num_rows:
-                stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BYTES, side="right")))
-                ids, texts = (batch.column(k).slice(at, stop - at).to_pylist() for k in (0, 1))
-                out = []
-                for doc, tokens in zip(ids, token_bytes(texts, tokenizer), strict=True):
-                    tokens += tail
-                    for piece, start in enumerate(range(0, len(tokens), 4 * capacity)):
-                        part = tokens[start : start + 4 * capacity]
-                        out.append((doc, piece, start // 4, len(part) // 4, zlib.crc32(part)))
-                columns = zip(*out, strict=True)
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
-                at = stop
+            yield from _pieces(batch, tokenizer, capacity, tail)
         if not keep_words:
             _words(tokenizer).clear()
 

@@ -1,6 +1,8 @@
 """Cases in which an operator once did less than its whole job."""
 
 import math
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
@@ -74,3 +76,29 @@ def test_shards_stay_bounded_where_bins_cannot_be_filled(spark, monkeypatch):
     found = packing.pack(pieces, shard=4).collect()
     assert len(found) == 400 and len({r["sequence_id"] for r in found}) == 400
     assert max(sizes) < 150
+
+
+_WORKER = """
+import random, re
+from unittest.mock import MagicMock
+import pandas, public_tokenizers, pyarrow as pa
+from tallyframe.llm import packing
+
+packing.F = packing.body = MagicMock()
+peak = lambda: int(re.search(r"VmHWM:\\s+(\\d+)", open("/proc/self/status").read())[1]) / 1024
+docs, chance, before = MagicMock(), random.Random(3), peak()
+packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
+run = docs.select().mapInArrow.call_args[0][0]
+for _ in range(3):
+    texts = [b" ".join("".join(chance.choices("abcdefghijklmnoprstuvz", k=8)).encode() for _ in range(400)) for _ in range(1000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array(texts, pa.binary())], names=["doc_id", "body"])
+    assert sum(b.num_rows for b in run([batch])) == 1000
+print(peak() - before)
+"""
+
+
+def test_a_packing_worker_stays_small():
+    # Workers share an executor with a JVM that a long pipeline has filled. This one meets 1.2 million words; it took 347 MB.
+    done = subprocess.run([sys.executable, "-c", _WORKER], capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr
+    assert float(done.stdout) < 200
