@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import corpus_pipeline
+import numpy as np
 from tallyframe.llm import near_copies
 
 
@@ -133,3 +134,54 @@ def test_only_texts_of_pairs_are_shuffled(spark, monkeypatch):
     monkeypatch.setattr(near_copies, "_across", lambda *a: held.append(len(a[-1].places)) or across(*a))
     assert {tuple(r) for r in near_copies.near_links(df).collect()} == {(7, 300)}
     assert passed and max(passed) <= 10 and held[0] <= 8
+
+
+def test_texts_that_share_a_passage_alone_are_not_moved(spark, monkeypatch):
+    """However rare a passage is in the sample, and however long the texts are that it stands in."""
+    chance, texts = random.Random(15), {}
+    passage = [f"p{k}" for k in range(40)]
+    for i in range(120):
+        own = [f"{chance.randrange(10**9)}" for _ in range(3000 if i % 4 == 0 else 120)]
+        at = chance.randrange(len(own))
+        texts[i] = " ".join(own[:at] + (passage if i % 4 else 20 * passage) + own[at:])
+    texts[120] = texts[8] + " more"
+    df = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    passed, only = [], near_copies.only
+
+    def watched(rows, known):
+        kept = only(rows, known)
+        if rows.columns == ["doc_id", "body"]:
+            passed.append(kept.count())
+        return kept
+
+    monkeypatch.setattr(near_copies, "COMMON", 10**9)
+    monkeypatch.setattr(near_copies, "only", watched)
+    assert {tuple(r) for r in near_copies.near_links(df).collect()} == {(8, 120)}
+    assert passed and max(passed) <= 10
+
+
+def test_pairs_are_verified_in_turns(spark, monkeypatch):
+    texts = drawn()
+    df = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    turns, near_pairs = [], near_copies._near_pairs
+    monkeypatch.setattr(near_copies, "LEAST", 1)
+    monkeypatch.setattr(near_copies, "_near_pairs", lambda pairs, *a: turns.append(pairs.count()) or near_pairs(pairs, *a))
+    found = {tuple(r) for r in near_copies.near_links(df, star=10**9).collect()}
+    want = links(texts)
+    assert found <= want and first_of(texts, found) == first_of(texts, want)
+    assert len(turns) > 2 and max(turns) < len(texts)
+
+
+def test_parities_let_all_near_sets_pass():
+    chance = np.random.default_rng(2)
+    for n in (1, 2, 9, 500, 513, 1000, 1025, 4100):
+        for _ in range(20):
+            one = np.unique(chance.integers(0, 1 << 63, n, np.uint64))
+            gone = int(chance.integers(0, n // 5 + 1))
+            new = chance.integers(0, 1 << 63, int(chance.integers(0, n // 4 + 1)), np.uint64)
+            other = np.unique(np.concatenate([one[gone:], new]))
+            a, b = near_copies.wide_parity(one), near_copies.wide_parity(other)
+            assert not near_copies.near(one, other) or near_copies.may_be_near(a, b, len(one) + len(other))
+            assert (near_copies.fold(a, 8) == near_copies.parity(one)).all()
+    apart = [near_copies.wide_parity(chance.integers(0, 1 << 63, 4100, np.uint64)) for _ in range(2)]
+    assert not near_copies.may_be_near(*apart, 8200)
